@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .mixing import mix
 from .sentencepieces import encode_documents
 from .simhash import simhash_components
+from .substring_dedup import remove_repeats
 from .token_files import token_files
 
 #: Where the vocabulary files of the public tokenizers are; they are read from there and never copied.
@@ -23,10 +25,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, round_trip."""
     found = encode_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -73,7 +84,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op4_sentencepiece, op5_language_id, op6_toxicity, op7_simhash_near_dedup, op8_token_files, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_source_mixing, op3_substring_dedup, op4_sentencepiece, op5_language_id, op6_toxicity, op7_simhash_near_dedup, op8_token_files, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from . import language_id, toxicity
 from .exact_dedup import exact_dedup
 from .html_text import extract
 from .mixing import mix
+from .neighbours import search
 from .sentencepieces import encode_documents
 from .simhash import simhash_components
 from .substring_dedup import remove_repeats
@@ -68,6 +70,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_additive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_cp,
@@ -84,7 +90,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_main_text, op2_source_mixing, op3_substring_dedup, op4_sentencepiece, op5_language_id, op6_toxicity, op7_simhash_near_dedup, op8_token_files, op9_exact_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_main_text, op2_source_mixing, op3_substring_dedup, op4_sentencepiece, op5_language_id, op6_toxicity, op7_simhash_near_dedup, op8_token_files, op9_exact_dedup, op10_additive_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

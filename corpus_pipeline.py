@@ -24,7 +24,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by the SimHash of five-word shingles."""
+    """One document of each group of near copies: SimHash of five-word shingles within 3 bits, or shingle sets of similarity 0.8 or more."""
     return simhash.keep_documents(docs, width=5)
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import connected_components
 from .exact_dedup import drop_rows
+from .shingle_links import similar_links
 
 #: The generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the binary Golay code, its length and covering radius.
 GOLAY_POLYNOMIAL = 0b101011100011
@@ -222,9 +223,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, with all their columns; of repeated rows one stays."""
-    found = common.store(simhash_components(docs, id_col, text_col, width, threshold).select("doc_id", "component_id"), "near")
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id by links of either kind: fingerprints within ``threshold`` bits, or shingle sets of Jaccard ``similarity`` or more.
+
+    Repeated rows stay.
+    """
+    own = common.store(simhash_components(docs, id_col, text_col, width, threshold).select("doc_id", "component_id"), "near")
+    close = own.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = close.unionAll(similar_links(docs, id_col, text_col, width, similarity)).distinct()
+    parts = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+    return common.join_sized(own.select("doc_id"), parts, "doc_id", "left", 32).select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component (see ``near_components``), with all their columns; of repeated rows one stays."""
+    found = common.store(near_components(docs, id_col, text_col, width, threshold, similarity), "components")
     drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     again = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     return drop_rows(docs, id_col, drop, again)

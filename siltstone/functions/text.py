@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ESCAPES = (("%", "%25"), ("|", "%7C"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
 
@@ -30,7 +31,7 @@ def display_unescape(x: Column) -> Column:
     return F.replace(x, F.lit("\t"), F.lit(" "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def byte_escape(data: pd.Series) -> pd.Series:
     """Bytes as printable ASCII: others, percent, pipe and backslash as %HH."""
     return data.map(lambda b: None if b is None else "".join(chr(c) if 32 <= c <= 126 and c not in b"%|\\" else f"%{c:02X}" for c in bytes(b)))
@@ -48,7 +49,7 @@ def strip_slash(path: Column) -> Column:
 def fit_name(x: Column, width: int) -> Column:
     """A name cut to ``width`` bytes with an ellipsis of one sign, at a character's edge; a name that fits is unchanged."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(names: pd.Series) -> pd.Series:
         def one(name: str | None) -> str | None:
             if name is None or len(name.encode()) <= width:
@@ -60,7 +61,7 @@ def fit_name(x: Column, width: int) -> Column:
     return cut(x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a64(data: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, as 16 hexadecimal digits."""
 
@@ -95,7 +96,7 @@ def safe_path(path: Column) -> Column:
 
 def normalised_list(x: Column) -> Column:
     """A comma list in lower case, trimmed, in order, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(x), ","), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(x), ","), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def compression_level(options: Column) -> Column:

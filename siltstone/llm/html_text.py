@@ -42,6 +42,9 @@ NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog a
 NO_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+#: Words of class or id that are no part of an article outside of one.
+NO_NAME_OUTSIDE = frozenset("header topbar branding logo tagline bottom legal imprint".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Words of class or id of an article's body where no element says so.
 BODY_NAME = frozenset("article story post entry".split())
 _KEEPS = frozenset("h1 h2 h3 h4 h5 h6 p li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption br hr".split())
@@ -155,6 +158,7 @@ def parse(page: str | None) -> Page:
         role = attributes.get("role", "").lower()
         opens = tag == "article" or tag == "main" or role in ("main", "article") or attributes.get("itemprop") == "articleBody"
         dropped = tag in NO_TEXT or role in NO_ROLE or "hidden" in attributes or attributes.get("aria-hidden") == "true" or (tag == "header" and not top.article)
+        dropped = dropped or (not top.article and bool(names & NO_NAME_OUTSIDE) and tag not in ("html", "body", "main", "article")) or bool(_UNSEEN.search(attributes.get("style", "")))
         dropped = dropped or bool(names & NO_NAME and tag not in ("html", "body", "main") and not (tag == "article" and not names & {"comment", "comments", "related", "teaser", "ad", "promo"}))
         label = f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}" if names else tag
         path = top.path if tag in INLINE else _path(top.path, label)

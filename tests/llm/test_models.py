@@ -205,7 +205,7 @@ def test_id_files_have_random_access():
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><header class="top"><a href="/">Home</a></header><nav><ul><li>Menu</ul></nav><div id="cookie-bar">We use cookies</div>
-<div class="sidebar">Side</div><article><header><h1>T&eacute;st</h1></header><p>One<b>two</b> three&nbsp;x<p>Four &lt;b&gt;<br>five<ul><li>a<li>b</ul><form><label>Mail</label></form>
+<div class="sidebar">Side</div><div class="siteHeader">Brand</div><p style="display: none">unseen</p><article><header><h1>T&eacute;st</h1></header><p>One<b>two</b> three&nbsp;x<p>Four &lt;b&gt;<br>five<ul><li>a<li>b</ul><form><label>Mail</label></form>
 <section id="comments"><article class="comment">hey</article></section></article><aside>z</aside><footer>f</footer></body></html>"""
 
 

@@ -68,10 +68,10 @@ def pak(f: Reader) -> Iterator[Record]:
     methods = [m for k in range(0, len(names), 32) if (m := names[k : k + 32].rstrip(b"\0"))]
     status = "ENCRYPTED" if encrypted else "OK" if hashlib.sha1(f.take(offset, size)).digest() == sha else "INDEX_SHA1_MISMATCH"
     yield "UNREAL_PAK", "", {"version": version, "index_offset": offset, "index_size": size, "encrypted": encrypted & 1}, {"index": status, "methods": ",".join(text(m) for m in methods)}
-    if status != "OK" or version >= 10:
+    if status != "OK":
         return
     f.seek(offset)
-    yield from _pak_entries(f, version, methods, offset + size)
+    yield from _pak_directory(f, methods, offset + size) if version >= 10 else _pak_entries(f, version, methods, offset + size)
 
 
 def _fstring(f: Reader) -> str:
@@ -104,6 +104,60 @@ def _pak_entries(f: Reader, version: int, methods: list[bytes], end: int) -> Ite
     need(f.at <= end, "index runs over its end")
 
 
+def _pak_section(f: Reader) -> Reader | None:
+    """A secondary index that the primary one declares; its SHA-1 must hold."""
+    if not f.number("<I"):
+        return None
+    offset, size, sha = f.unpack("<QQ20s")
+    data = f.take(offset, size)
+    need(hashlib.sha1(data).digest() == sha, "secondary index differs from its SHA-1")
+    return Reader(data, len(data))
+
+
+def _pak_encoded(f: Reader) -> dict[str, int]:
+    """A packed entry: sizes of 32 or 64 bits by its flags, then the sizes of its blocks."""
+    word = f.number("<I")
+    block_size = f.number("<I") if word & 0x3F == 0x3F else (word & 0x3F) << 11
+    blocks, encrypted, method = word >> 6 & 0xFFFF, word >> 22 & 1, word >> 23 & 0x3F
+    offset = f.number("<I" if word >> 31 & 1 else "<Q")
+    raw = f.number("<I" if word >> 30 & 1 else "<Q")
+    size = f.number("<I" if word >> 29 & 1 else "<Q") if method else raw
+    if blocks and (encrypted or blocks != 1):
+        f.read(4 * blocks)
+    return {"offset": offset, "size": size, "raw": raw, "method": method, "blocks": blocks, "block_size": block_size, "encrypted": encrypted}
+
+
+def _pak_directory(f: Reader, methods: list[bytes], end: int) -> Iterator[Record]:
+    """Entries of version 10 and 11: the full directory names packed entries by offset, plain ones by a negative number, deleted ones by the least."""
+    mount = _fstring(f)
+    count, _ = f.unpack("<IQ")
+    need(count <= 2_000_000, "too many entries")
+    _pak_section(f)
+    directory = _pak_section(f)
+    packed = f.read(f.number("<I"))
+    plain = f.number("<I")
+    need(plain <= count and f.at <= end, "index runs over its end")
+    listed = []
+    for _ in range(plain):
+        offset, size, raw, method, sha = f.unpack("<QQQI20s")
+        blocks = f.number("<I") if method else 0
+        f.read(16 * blocks + 5)
+        listed.append({"offset": offset, "size": size, "raw": raw, "method": method, "blocks": blocks})
+    if directory is None:
+        return
+    for _ in range(directory.number("<I")):
+        folder = _fstring(directory)
+        for _ in range(directory.number("<I")):
+            name, at = folder.removeprefix("/") + _fstring(directory), directory.number("<i")
+            if at == -(1 << 31):
+                yield "UNREAL_DELETED", name, {}, {"mount": mount}
+                continue
+            need(at < len(packed) and -at - 1 < len(listed), "entry outside of the index")
+            entry = _pak_encoded(Reader(packed, len(packed)).seek(at)) if at >= 0 else listed[-at - 1]
+            m = entry["method"]
+            yield "UNREAL_ENTRY", name, entry, {"mount": mount, "method_name": methods[m - 1].decode() if 0 < m <= len(methods) else ""}
+
+
 def utoc(f: Reader) -> Iterator[Record]:
     """Unreal I/O store tables of contents: header, chunks and blocks."""
     need(f.seek(0).read(16) == b"-==--==--==--==-", "no I/O store header")
@@ -170,7 +224,27 @@ def form(f: Reader) -> Iterator[Record]:
         f.at += size
     need(bool(chunks), "no chunks")
     yield "FORM_HEADER", "", {"chunks": len(chunks), "size": f.length}, {}
-    yield from chunks
+    for chunk in chunks:
+        yield chunk
+        if chunk[1] in FORM_TABLES and chunk[2]["size"] >= 4:
+            yield _form_table(f, chunk[1], chunk[2]["offset"], chunk[2]["size"])
+
+
+# Chunks that begin with a count and a table of pointers.
+FORM_TABLES = frozenset(("STRG", "TXTR", "TPAG", "SPRT", "AUDO", "SOND", "BGND", "FONT", "OBJT", "ROOM", "CODE"))
+
+
+def _form_table(f: Reader, tag: str, start: int, size: int) -> Record:
+    """Bounds of a pointer table; what it points to is not read."""
+    count = f.seek(start).number("<I")
+    if count > 1_000_000:
+        return "GAMEMAKER_TABLE", tag, {"count": count}, {"table": "TABLE_BUDGET_SKIPPED"}
+    if 4 + 4 * count > size:
+        return "GAMEMAKER_TABLE", tag, {"count": count}, {"table": "TABLE_TRUNCATED"}
+    pointers = f.unpack(f"<{count}I")
+    real = [p for p in pointers if p]
+    inside = {"nulls": count - len(real), "aliases": len(real) - len(set(real)), "outside": sum(not start <= p < start + size for p in real), "into_table": sum(start <= p < start + 4 + 4 * count for p in real)}
+    return "GAMEMAKER_TABLE", tag, {"count": count, **inside}, {"table": "POINTER_BOUNDS_ONLY"}
 
 
 # Sample rates of FSB5 by code, and codecs by mode.
@@ -218,9 +292,25 @@ def xnb(f: Reader) -> Iterator[Record]:
     yield "XNB_HEADER", "", {"version": version, "size": size, "compressed": int(bool(flags & 0xC0)), "hidef": flags & 1}, {"platform": platform.decode("latin-1")}
     if version != 5 or flags & 0xC0:
         return
+    readers = []
     for _ in range(_seven(f)):
-        name = text(f.read(_seven(f)))
-        yield "XNB_READER", name, {"version": f.number("<i")}, {}
+        readers.append(text(f.read(_seven(f))))
+        yield "XNB_READER", readers[-1], {"version": f.number("<i")}, {}
+    if f.at == f.length:
+        return
+    shared, root = _seven(f), _seven(f)
+    if shared or not 0 < root <= len(readers) or readers[root - 1].split(",")[0] != "Microsoft.Xna.Framework.Content.Texture2DReader":
+        yield "XNB_TEXTURE_STATUS", "", {"shared": shared}, {"texture": "UNSUPPORTED_ROOT"}
+        return
+    fmt, width, height, mips = f.unpack("<4i")
+    need(0 < width <= 16384 and 0 < height <= 16384 and 0 < mips <= 15, "texture dimensions")
+    yield "XNB_TEXTURE", "", {"format": fmt, "width": width, "height": height, "mips": mips}, {}
+    for level in range(mips):
+        n = f.number("<I")
+        yield "XNB_MIP", str(level), {"width": max(1, width >> level), "height": max(1, height >> level), "offset": f.at, "size": n}, {}
+        need(f.at + n <= f.length, "mip outside the file")
+        f.at += n
+    yield "XNB_TEXTURE_STATUS", "", {"shared": 0}, {"texture": "OK" if f.at == f.length else "TRAILING_BYTES"}
 
 
 def _seven(f: Reader) -> int:
@@ -246,6 +336,26 @@ def vtf(f: Reader) -> Iterator[Record]:
         resources = f.number("<I")
     need(width > 0 and height > 0 and 0 < mips <= 16 and header <= f.length, "header out of bounds")
     yield "VTF_HEADER", "", {"minor": minor, "width": width, "height": height, "depth": depth, "frames": frames, "mips": mips, "format": fmt, "low_format": low, "low_width": low_width, "low_height": low_height, "resources": resources, "flags": flags, "first": first}, {}
+    if fmt not in VTF_BLOCKS or low not in (*VTF_BLOCKS, 0xFFFFFFFF) or minor >= 3:
+        yield "VTF_STATUS", "", {}, {"chain": "UNSUPPORTED"}
+        return
+    faces = 6 if flags & 0x4000 else 1
+    at = header + (_vtf_bytes(low, low_width, low_height) if low != 0xFFFFFFFF else 0)
+    for level in reversed(range(mips)):
+        w, h, d = max(1, width >> level), max(1, height >> level), max(1, depth >> level)
+        n = _vtf_bytes(fmt, w, h) * d * max(1, frames) * faces
+        yield "VTF_MIP", str(level), {"width": w, "height": h, "offset": at, "size": n}, {}
+        at += n
+    yield "VTF_STATUS", "", {"expected": at, "length": f.length}, {"chain": "OK" if at == f.length else "LENGTH_DIFFERS"}
+
+
+# Side of a block and its bytes by the texture's format number.
+VTF_BLOCKS = {0: (1, 4), 2: (1, 3), 3: (1, 3), 12: (1, 4), 13: (4, 8), 14: (4, 16), 15: (4, 16)}
+
+
+def _vtf_bytes(fmt: int, width: int, height: int) -> int:
+    side, size = VTF_BLOCKS[fmt]
+    return -(-width // side) * -(-height // side) * size
 
 
 # Bytes of a 4x4 block by DDS code.
@@ -344,7 +454,32 @@ def serialized(f: Reader) -> Iterator[Record]:
         meta, size, data, _ = f.unpack(">IQQQ")
     need(size == f.length and data <= size and endian in (0, 1), "header out of bounds")
     engine = f.cstring(256)
-    yield "UNITY_SERIALIZED", "", {"version": version, "metadata": meta, "data": data, "big_endian": endian, "platform": f.number("<I" if endian == 0 else ">I")}, {"engine": engine}
+    e = ">" if endian else "<"
+    yield "UNITY_SERIALIZED", "", {"version": version, "metadata": meta, "data": data, "big_endian": endian, "platform": f.number(f"{e}I")}, {"engine": engine}
+    if f.at >= min(f.length, f.at + meta) or meta <= len(engine) + 5:
+        return
+    tree, count = f.unpack(f"{e}?I")
+    need(count <= 4096, "too many types")
+    classes = []
+    for _ in range(count):
+        kind, _, _ = f.unpack(f"{e}i?h")
+        f.read(32 if kind == 114 else 16)
+        if tree:
+            nodes, names = f.unpack(f"{e}II")
+            need(nodes <= 1 << 16, "type tree size")
+            f.read(nodes * (32 if version >= 19 else 24) + names)
+            if version >= 21:
+                f.read(4 * f.number(f"{e}I"))
+        classes.append(kind)
+    objects = f.number(f"{e}I")
+    need(objects <= 4_000_000, "too many objects")
+    seen: set[int] = set()
+    for _ in range(objects):
+        f.at = (f.at + 3) // 4 * 4
+        path_id, begin, n, type_ = f.unpack(f"{e}qQII" if version >= 22 else f"{e}qIII")
+        need(path_id not in seen and type_ < len(classes) and data + begin + n <= size, "repeated object, unknown type or object outside the file")
+        seen.add(path_id)
+        yield "UNITY_OBJECT", str(path_id), {"class": classes[type_], "offset": data + begin, "size": n}, {}
 
 
 def rsrc(f: Reader) -> Iterator[Record]:

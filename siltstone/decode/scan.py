@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import groups
+from ..operators import groups, intervals, rangejoin
 from .formats import decode
 from .reader import Reader
 
@@ -84,3 +84,47 @@ def required_archives(records: DataFrame) -> DataFrame:
     """The bytes each archive of a Valve pack must have."""
     n = F.col("numbers")
     return records.filter("record = 'VPK_ENTRY'").groupBy("path", n["archive"].alias("archive")).agg(F.max(n["offset"] + n["length"]).alias("required"), F.count("*").alias("entries"))
+
+
+def chunk_blocks(records: DataFrame) -> DataFrame:
+    """Each chunk of an I/O store with the blocks it lies in, joined on the block's number, and whether those blocks hold all of it."""
+    n = F.col("numbers")
+    size = records.filter("record = 'UNREAL_IOSTORE'").select("path", n["block_size"].alias("block_size"))
+    chunks = records.filter("record = 'IOSTORE_CHUNK'").select("path", F.col("name").alias("chunk"), n["offset"].alias("offset"), n["length"].alias("length")).join(size, "path")
+    blocks = records.filter("record = 'IOSTORE_BLOCK'").select("path", n["at"].alias("block"), F.col("name").alias("method"), n["size"].alias("packed"), n["raw"].alias("raw"))
+    first, last = F.floor(F.col("offset") / F.col("block_size")), F.floor((F.col("offset") + F.col("length") - 1) / F.col("block_size"))
+    spread = chunks.filter("length > 0").withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    need = F.least(F.col("offset") + F.col("length"), (F.col("block") + 1) * F.col("block_size")) - F.col("block") * F.col("block_size")
+    found = spread.join(blocks, ["path", "block"], "left")
+    return found.groupBy("path", "chunk").agg(F.count("raw").alias("blocks"), F.sum("packed").alias("packed"), F.bool_and(F.coalesce(F.col("raw") >= need, F.lit(False))).alias("complete"))
+
+
+def class_rollup(records: DataFrame) -> DataFrame:
+    """Objects and bytes of each Unity class in a file."""
+    n = F.col("numbers")
+    return records.filter("record = 'UNITY_OBJECT'").groupBy("path", n["class"].alias("class")).agg(F.count("*").alias("objects"), F.sum(n["size"]).alias("bytes"))
+
+
+def method_rollup(records: DataFrame) -> DataFrame:
+    """Entries, stored and whole bytes of Unreal packs by compression method; deleted entries have none."""
+    n, t = F.col("numbers"), F.col("texts")
+    own = records.filter("record in ('UNREAL_ENTRY', 'UNREAL_DELETED')").select("path", F.when(F.col("record") == "UNREAL_DELETED", "deleted").when(n["method"] == 0, "none").otherwise(t["method_name"]).alias("method"), n["size"].alias("size"), n["raw"].alias("raw"))
+    return own.groupBy("path", "method").agg(F.count("*").alias("entries"), F.sum("size").alias("size"), F.sum("raw").alias("raw"))
+
+
+def coverage(records: DataFrame, record: str, start: str = "offset", length: str = "size") -> DataFrame:
+    """Of each file's extents of one kind: union length, repeats and overlapping islands."""
+    n = F.col("numbers")
+    own = records.filter(F.col("record") == record).select("path", n[start].alias("a"), (n[start] + n[length]).alias("b"))
+    return intervals.interval_union(own, ["path"], "a", "b")
+
+
+def resolve_streams(references: DataFrame, files: DataFrame) -> DataFrame:
+    """References (path, begin, length) against files (path, size): RESOLVED, OUT_OF_RANGE, MISSING, or UNREADABLE where the file is known without a size."""
+    known = files.select("path", "size", F.lit(True).alias("_known"))
+    status = F.when(F.col("_known").isNull(), "MISSING").when(F.col("size").isNull(), "UNREADABLE").when(F.col("begin") + F.col("length") > F.col("size"), "OUT_OF_RANGE").otherwise("RESOLVED")
+    return references.join(known, "path", "left").withColumn("status", status).drop("_known")
+
+
+def relocated(points: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    return rangejoin.relocate(points, "offset", removed, "begin", "length", keys)

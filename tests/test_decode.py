@@ -139,3 +139,53 @@ def test_reader_bounds():
     for offset, size in ((8, 3), (-1, 2), (0, 6)):
         with pytest.raises(Rejected):
             r.take(offset, size)
+
+
+def test_pak_directory():
+    fstring = lambda s: struct.pack("<i", len(s) + 1) + s + b"\0"
+    packed = struct.pack("<IIII", 1 << 31 | 1 << 30 | 1 << 29 | 2 << 23 | 2 << 6 | 4, 100, 5000, 900) + struct.pack("<II", 450, 450) + struct.pack("<III", 1 << 31 | 1 << 30, 7, 8)
+    directory = struct.pack("<I", 1) + fstring(b"Game/") + struct.pack("<I", 4) + b"".join(fstring(n) + struct.pack("<i", at) for n, at in [(b"a", 0), (b"b", 24), (b"c", -1), (b"d", -(1 << 31))])
+    plain = struct.pack("<QQQI20s", 3, 4, 4, 0, bytes(20)) + bytes(5)
+    index = fstring(b"../") + struct.pack("<IQ", 4, 0) + struct.pack("<I", 0) + struct.pack("<IQQ", 1, 0, len(directory)) + hashlib.sha1(directory).digest() + struct.pack("<I", len(packed)) + packed + struct.pack("<I", 1) + plain
+    names = (b"Zlib".ljust(32, b"\0") + b"Oodle".ljust(32, b"\0")).ljust(160, b"\0")
+    data = directory + index + bytes(16) + b"\0" + struct.pack("<IIQQ", formats.PAK_MAGIC, 11, len(directory), len(index)) + hashlib.sha1(index).digest() + names
+    out = {r[1]: r for r in records(data, "pak")[1][1:]}
+    assert out["Game/a"][2]["raw"] == 5000 and out["Game/a"][2]["size"] == 900 and out["Game/a"][3]["method_name"] == "Oodle" and out["Game/a"][2]["block_size"] == 8192
+    assert out["Game/b"][2]["offset"] == 7 and out["Game/c"][2]["size"] == 4 and out["Game/d"][0] == "UNREAL_DELETED"
+    assert formats.decode(Reader(b"x" + data[1:], len(data)), "pak")[2] == "secondary index differs from its SHA-1"
+
+
+def test_textures_in_full():
+    body = struct.pack("<4i", 0, 4, 2, 2) + struct.pack("<I", 32) + bytes(32) + struct.pack("<I", 8) + bytes(8)
+    reader = b"Microsoft.Xna.Framework.Content.Texture2DReader, X"
+    rest = bytes([1, len(reader)]) + reader + struct.pack("<i", 0) + b"\0\1" + body
+    out = records(b"XNBw\x05\x00" + struct.pack("<I", 10 + len(rest)) + rest)[1]
+    assert [r[0] for r in out] == ["XNB_HEADER", "XNB_READER", "XNB_TEXTURE", "XNB_MIP", "XNB_MIP", "XNB_TEXTURE_STATUS"] and out[-1][3]["texture"] == "OK"
+    vtf = (b"VTF\0" + struct.pack("<3IHHIHh", 7, 2, 80, 8, 8, 0, 1, 0)).ljust(52, b"\0") + struct.pack("<IBIBBH", 13, 2, 13, 4, 4, 1)
+    vtf = vtf.ljust(80, b"\0") + bytes(8 + 8 + 32)
+    out = records(vtf)[1]
+    assert [r[1] for r in out[1:3]] == ["1", "0"] and out[-1][3]["chain"] == "OK" and records(vtf + b"x")[1][-1][3]["chain"] == "LENGTH_DIFFERS"
+    table = struct.pack("<5I", 4, 0, 44, 44, 9999)
+    data = b"FORM" + struct.pack("<I", 8 + len(table) + 12) + b"STRG" + struct.pack("<I", len(table) + 12) + table + bytes(12)
+    assert records(data)[1][2][2] == {"count": 4, "nulls": 1, "aliases": 1, "outside": 1, "into_table": 0}
+
+
+def test_tables_of_records(spark):
+    header = (b"-==--==--==--==-" + struct.pack("<B3x9IQ", 3, 144, 2, 2, 12, 0, 0, 65536, 0, 1, 7) + bytes(16) + b"\0").ljust(144, b"\0")
+    offsets = b"".join(a.to_bytes(5, "big") + n.to_bytes(5, "big") for a, n in [(0, 70000), (65536, 9000)])
+    blocks = b"".join(o.to_bytes(5, "little") + c.to_bytes(3, "little") + r.to_bytes(3, "little") + b"\0" for o, c, r in [(0, 100, 65536), (112, 50, 4464)])
+    utoc = header + bytes(range(12)) + bytes(range(1, 13)) + offsets + blocks
+    types = struct.pack("<?I", False, 1) + struct.pack("<i?h", 28, False, -1) + bytes(16)
+    meta = b"2020.1\0" + struct.pack("<I", 19) + types + struct.pack("<I", 2)
+    at = 20 + len(meta)
+    objects = bytes(-at % 4) + struct.pack("<qIII", 1, 0, 8, 0) + struct.pack("<qIII", 2, 8, 8, 0)
+    data = 20 + len(meta) + len(objects)
+    unity = struct.pack(">4I", len(meta) + len(objects), data + 16, 17, data) + bytes(4) + meta + objects + bytes(16)
+    found = scan.decode_content(spark.createDataFrame([("u", bytearray(utoc)), ("s", bytearray(unity))], "path string, content binary")).cache()
+    got = {r.chunk[-2:]: (r.blocks, r.complete) for r in scan.chunk_blocks(found).collect()}
+    assert got == {"0b": (2, True), "0c": (1, False)}
+    assert [(r["class"], r.objects, r.bytes) for r in scan.class_rollup(found).collect()] == [(28, 2, 16)]
+    assert [(r.union_length, r.overlap_groups) for r in scan.coverage(found, "UNITY_OBJECT").collect()] == [(16, 0)]
+    refs = spark.createDataFrame([("a", 0, 5), ("a", 9, 5), ("b", 0, 1), ("c", 0, 1)], "path string, begin long, length long")
+    files = spark.createDataFrame([("a", 10), ("b", None)], "path string, size long")
+    assert sorted(r.status for r in scan.resolve_streams(refs, files).collect()) == ["MISSING", "OUT_OF_RANGE", "RESOLVED", "UNREADABLE"]

@@ -63,12 +63,10 @@ def page_of_rows(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
-def even_sample(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """Every ceil(n / most)-th row of each key."""
-    own = Window.partitionBy(*keys)
-    place = F.row_number().over(own.orderBy(*order)) - 1
-    step = F.ceil(F.count("*").over(own) / most)
-    return df.withColumn("place", place.cast("long")).withColumn("step", step.cast("long")).filter(F.col("place") % F.col("step") == 0).drop("step")
+def even_places(df: DataFrame, keys: list[str], place: str, most: int) -> DataFrame:
+    """Of rows numbered from 1 in each key, every ceil(n / most)-th, numbered from 0."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("long").alias("_step"))
+    return df.join(sizes, keys).withColumn(place, (F.col(place) - 1).cast("long")).filter(F.col(place) % F.col("_step") == 0).drop("_step")
 
 
 def cutoff_message(df: DataFrame, keys: list[str], order: list[str], text: str, most: int) -> DataFrame:

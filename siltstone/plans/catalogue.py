@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, groups, intervals, inventory, latest, lookup, quality, rangejoin, ratios
+from ..operators import classify, groups, intervals, inventory, latest, lookup, quality, ranking, rangejoin, ratios
 from ..sources import headers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,7 +87,8 @@ def max_stamp_per_key(t):
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type = 'purchase'")
 def history_newest_first(t):
     own = t("events").filter("event_type = 'purchase'")
-    return own.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("event_id"))).alias("place"))
+    ranked = ranking.row_number(own, F.to_date("ts"), [F.desc("ts"), F.desc("event_id")], descending=True)
+    return ranked.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), "place")
 
 
 @query(f"""SELECT o_orderkey, o_orderstatus, local, CASE WHEN local IS NULL AND o_orderstatus IN ('O', 'P') THEN h.hint END AS hint FROM (
@@ -276,7 +277,7 @@ def prefix_completeness(t):
 @query("""SELECT doc_id, source, CAST(64 + coalesce(sum(((n_chars + 31) // 32) * 32) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM documents""")
 def aligned_layout(t):
     step = rangejoin.align_up(F.col("n_chars"), 32)
-    return rangejoin.running(t("documents"), ["source"], ["doc_id"], step, "pos").select("doc_id", "source", (F.col("pos") + 64).alias("pos"))
+    return ranking.running(t("documents"), ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"], step, "pos").select("doc_id", "source", (F.col("pos") + 64).alias("pos"))
 
 
 @query("SELECT array_to_string(members, ',') AS members, count(*) AS n, min(l_orderkey) AS least_parent FROM (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS members FROM lineitem GROUP BY 1) GROUP BY ALL HAVING count(*) > 1")
@@ -331,7 +332,8 @@ def page_of_rows(t):
 
 @query("""SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE place % CAST(ceil(n / 8) AS BIGINT) = 0""")
 def even_sample(t):
-    return groups.even_sample(t("documents").select("source", "doc_id"), ["source"], ["doc_id"], 8)
+    placed = ranking.row_number(t("documents").select("source", "doc_id"), F.floor(F.col("doc_id") / 4096), ["doc_id"], keys=["source"])
+    return groups.even_places(placed, ["source"], "place", 8)
 
 
 @query("""SELECT source, lang, total, largest, n, total - largest AS reclaim, row_number() OVER (ORDER BY total - largest DESC, source, lang) AS place FROM (SELECT source, lang, CAST(sum(n_chars) AS BIGINT) AS total, max(n_chars) AS largest, count(*) AS n FROM documents GROUP BY ALL)""")
@@ -361,7 +363,7 @@ def efficiency_gate(t):
 @query("""SELECT doc_id, toxic, saving, row_number() OVER (ORDER BY saving DESC NULLS LAST, doc_id) AS place FROM (SELECT doc_id, toxic, CASE WHEN quality = 1 THEN n_chars END AS saving FROM labels JOIN documents USING (doc_id))""")
 def status_report_totals(t):
     rows = t("labels").join(t("documents"), "doc_id").select("doc_id", "toxic", F.when(F.col("quality") == 1, F.col("n_chars")).alias("saving"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("saving"), "doc_id")))
+    return ranking.row_number(rows, F.floor(F.col("saving") / 256), [F.desc_nulls_last("saving"), "doc_id"], descending=True)
 
 
 @query(f"""SELECT user_id, a.v AS before, b.v AS after, b.v - a.v AS delta FROM (SELECT user_id, CASE WHEN event_id % 5 > 0 THEN {CENTS.format('value')} END AS v FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1) a

@@ -3,7 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
-from siltstone.operators import groups, intervals, inventory, latest, lookup, rangejoin
+from siltstone.operators import groups, intervals, inventory, latest, lookup, ranking, rangejoin
 from siltstone.streaming import incremental
 
 
@@ -98,3 +98,13 @@ def test_streams(spark, tmp_path):
     assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "state" / "v1")).collect()} == {"a": 30, "b": 20}
     events = spark.createDataFrame([("a", 1)], "k string, v int").withColumn("ts", F.lit("2024-01-01 00:30:00").cast("timestamp"))
     assert incremental.event_windows(events, "ts", ["k"], "v").collect()[0].total == 1
+
+
+def test_two_level_ranks(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice("ab") if rng.random() < 0.9 else None, rng.randrange(50) if rng.random() < 0.9 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, x int, i int")
+    got = ranking.row_number(df, F.floor(F.col("x") / 10), [F.desc_nulls_last("x"), "i"], descending=True).collect()
+    assert [(r.i) for r in sorted(got, key=lambda r: r.place)] == [i for _, _, i in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))]
+    got = ranking.running(df, ["k"], F.floor(F.col("i") / 7), ["i"], F.coalesce("x", F.lit(0)), "s").collect()
+    assert all(r.s == sum(x or 0 for k, x, i in rows if k == r.k and i < r.i) for r in got) and len(got) == 300

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import groups, intervals, rangejoin
+from ..shipping import ship
 from .formats import decode
 from .reader import Reader
 
@@ -29,6 +30,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def decode_content(files: DataFrame) -> DataFrame:
     """Records of files held as (path, content)."""
+    ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -43,6 +45,7 @@ def decode_files(spark: SparkSession, path: str, glob: str = "*", parts: int | N
 
     Files are listed without their content and dealt out evenly.
     """
+    ship(spark)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
     dealt = listed.repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 

@@ -31,10 +31,14 @@ def display_unescape(x: Column) -> Column:
     return F.replace(x, F.lit("\t"), F.lit(" "))
 
 
-@F.pandas_udf(StringType())
-def byte_escape(data: pd.Series) -> pd.Series:
+def byte_escape(x: Column) -> Column:
     """Bytes as printable ASCII: others, percent, pipe and backslash as %HH."""
-    return data.map(lambda b: None if b is None else "".join(chr(c) if 32 <= c <= 126 and c not in b"%|\\" else f"%{c:02X}" for c in bytes(b)))
+
+    @F.pandas_udf(StringType())
+    def escape(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else "".join(chr(c) if 32 <= c <= 126 and c not in b"%|\\" else f"%{c:02X}" for c in bytes(b)))
+
+    return escape(x)
 
 
 def json_quote(x: Column) -> Column:
@@ -61,19 +65,22 @@ def fit_name(x: Column, width: int) -> Column:
     return cut(x)
 
 
-@F.pandas_udf(StringType())
-def fnv1a64(data: pd.Series) -> pd.Series:
+def fnv1a64(x: Column) -> Column:
     """FNV-1a, 64 bits, as 16 hexadecimal digits."""
 
-    def one(b: bytes | None) -> str | None:
-        if b is None:
-            return None
-        h = 0xCBF29CE484222325
-        for c in bytes(b):
-            h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return f"{h:016x}"
-
-    return data.map(one)
+    @F.pandas_udf(StringType())
+    def digest(data: pd.Series) -> pd.Series:
+        def one(b: bytes | None) -> str | None:
+            if b is None:
+                return None
+            h = 0xCBF29CE484222325
+            for c in bytes(b):
+                h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+            return f"{h:016x}"
+
+        return data.map(one)
+
+    return digest(x)
 
 
 def tokens(x: Column, pattern: str = r"[^0-9A-Za-z]+") -> Column:

@@ -423,3 +423,16 @@ def legacy_unique_match(t):
 def substring_theta(t):
     prefixes = t("pages").filter("page_id % 3 = 0").select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("prefix"))
     return lookup.prefix_matches(t("pages").select("page_id", "url"), "url", prefixes, "prefix").select("page_id", "prefix")
+
+
+@query("""SELECT doc_id, name, CAST(124 + length(name) AS BIGINT) AS "offset", CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS md5 FROM (SELECT doc_id, text, 'res://doc_' || doc_id || '.txt' AS name FROM documents)""")
+def pack_directory_rows(t):
+    """Every document as a pack of one file, built here, and its directory as the decoder reads it."""
+    from ..decode import scan
+
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    name = F.concat(F.lit("res://doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    head = F.concat(F.lit(b"GDPC"), headers.le_bytes(F.lit(1), 4), F.lit(bytes(76)), headers.le_bytes(F.lit(1), 4))
+    entry = F.concat(headers.le_bytes(F.octet_length(name), 4), name.cast("binary"), headers.le_bytes(F.octet_length(name) + 124, 8), headers.le_bytes(F.octet_length(body), 8), F.unhex(F.md5(body)))
+    packs = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(head, entry, body).alias("content"))
+    return scan.pack_entries(scan.decode_content(packs)).select(F.col("path").cast("long").alias("doc_id"), "name", "offset", "size", "md5")

@@ -25,3 +25,9 @@ def container_kind(data: Column) -> Column:
         F.when(F.substring(magic, 1, 6) == text("XNB"), "xnb").when(magic.isin("46534235", "46455620"), "fmod").when(magic == text("GDPC"), "pck").when(F.hex(F.substring(data, 1, 7)) == text("UnityFS"), "unityfs")
         .when(magic == "2D3D3D2D", "utoc").when(magic == "3412AA55", "vpk").when(magic == text("VTF\0"), "vtf").when(magic == text("FORM"), "gamemaker").when(magic == text("DDS "), "dds").when(magic == text("RIFF"), "wav")
     )
+
+
+def le_bytes(n: Column, size: int) -> Column:
+    """A whole number as little-endian bytes."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))

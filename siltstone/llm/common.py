@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -20,6 +22,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 48 << 20
 
 _shipped: set[str] = set()
+#: The C library, where it can give memory back.
+_libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def ship(spark: SparkSession) -> None:
@@ -79,6 +83,18 @@ def utf8(array: pa.Array | pa.ChunkedArray) -> pa.Array:
     return array.cast(pa.binary()) if pa.types.is_string(array.type) else array.cast(pa.large_binary())
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches cut into few rows, so that little of them is held as Python objects at once; at the end freed memory goes back to the system."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if _libc is not None:
+            _libc.malloc_trim(0)
+
+
 def text_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names that no other column can clash with."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -210,7 +210,7 @@ def low_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     common.ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             rows: dict[str, set] = {}
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows.setdefault(name, set()).update(style_nodes(parse(page)))
@@ -241,7 +241,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     common.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [main_text(parse(page), frozenset(out or ())) for page, out in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

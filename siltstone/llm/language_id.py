@@ -78,7 +78,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in common.slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 v = bundle(text)
                 if v is not None and (size := np.linalg.norm(v)) > 0:
@@ -107,7 +107,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in common.slices(batches):
             names, scores = [], []
             for text in batch.column(1).to_pylist():
                 v = bundle(text) if known.languages else None

@@ -21,7 +21,7 @@ from . import common
 #: Fixed values of the SentencePiece format: the sign for a space, and what an unknown character costs below the least score.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: Cuts of text remembered in a worker, of so many characters at most.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(shared.value)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(1).to_pylist()
             for a, b in common.text_blocks([t or "" for t in texts], 8 << 20):
                 ids = [coder.encode(t) for t in texts[a:b]]

@@ -57,7 +57,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = common.text_id(docs, id_col, text_col).filter("doc_id is not null and text is not null")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             made = [sketch(s) if len(s := shingle_set(t, width)) else None for t in common.utf8(batch.column(1)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if m is None else m.tobytes() for m in made], pa.binary())], names=["doc_id", "sketch"])
 
@@ -65,7 +65,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = common.n_buckets(spark, sketches.count() * BANDS, 200_000)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = batch.column(0).to_numpy()
             mins = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(len(ids), BANDS, ROWS).astype(np.uint64)
             with np.errstate(over="ignore"):
@@ -89,7 +89,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     proposed = sketches.mapInArrow(deal, "bucket int, key binary, doc binary").groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, BANDS * ROWS) for i in (2, 3))
             near = (x == y).mean(axis=1) >= similarity - SLACK
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
@@ -99,7 +99,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     likely = common.store(both.select("a", "b", "x", "y").mapInArrow(screen, "a long, b long"), "likely")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             sets = [shingle_set(t, width).astype(np.uint32) for t in common.utf8(batch.column(1)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
@@ -107,7 +107,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = common.store(common.join_sized(rows, needed, "doc_id", "left_semi", 32).mapInArrow(gather, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)

@@ -34,7 +34,7 @@ GOLAY_RADIUS = 3
 
 _BLOCK = (1 << GOLAY_LENGTH) - 1
 #: Homes compared with visitors at once, and the visitors from which a home's neighbours are looked up instead.
-_CHUNK, _MANY = 1 << 21, 4096
+_CHUNK, _MANY = 1 << 19, 4096
 
 
 def fingerprint(text: bytes | None, width: int) -> int:
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = common.utf8(batch.column(1)).to_pylist()
             fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
@@ -190,10 +190,10 @@ def link_fingerprints(fps: DataFrame, threshold: int = 2) -> DataFrame:
     buckets = common.n_buckets(spark, fps.count() * 64, 100_000)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 4_000):
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i in range(0, len(values), 20_000):
-                part = values[i : i + 20_000]
+            for i in range(0, len(values), 4_000):
+                part = values[i : i + 4_000]
                 at, anchor, home = anchors(part, threshold)
                 bucket = (common.mix(anchor.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 yield from common.pack(bucket, {"anchor": anchor, "fp": part[at], "home": home.astype(np.uint8)})

@@ -109,7 +109,7 @@ def _repeated(rows: DataFrame, buckets: int, slots: int, window: int, width: int
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts = batch.column(0).to_numpy(), _canonical(common.utf8(batch.column(2)).to_pylist())
             for a, b in common.text_blocks(texts):
                 words = common.Words(texts[a:b])
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held: dict[bytes, tuple[int, int]] = {}
         found: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = _canonical(common.utf8(batch.column(2)).to_pylist())
             for a, b in common.text_blocks(texts):
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             counts, removed, out, kept = [], [], [], []
             for text, begins, ends in zip(common.utf8(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = text.split() if text else []

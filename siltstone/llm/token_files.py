@@ -27,7 +27,7 @@ from . import common
 MAGIC = b"SILTDAC1"
 RANK_BITS = 512
 #: Ids in a file at most, but for the last document's, and remembered pieces of text in a worker.
-FILE_IDS = 8 << 20
+FILE_IDS = 2 << 20
 REMEMBERED = 500_000
 
 
@@ -259,7 +259,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
             ids.clear()
 
         held = 0
-        for batch in batches:
+        for batch in common.slices(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in common.text_blocks([t or "" for t in texts]):
                 for key, data in zip(keys[a:b], encode_texts(texts[a:b], spec.value, end_id)):

@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return none
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 2500):
             seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[toxic].update(f for f, x in features(text).items() if x * FULL_RATE >= LEAST_RATE)
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     place, wanted = {f: i for i, f in enumerate(names)}, dict.fromkeys(names, 0.0)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             held = [features(t, wanted) for t in batch.column(2).to_pylist()]
             values = [pa.array([[place[f] for f in h] for h in held], pa.list_(pa.int32())), pa.array([list(h.values()) for h in held], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], names=["doc_id", "toxic", "at", "value"])
@@ -159,7 +159,7 @@ def severity(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.weights
-        for batch in batches:
+        for batch in common.slices(batches):
             scores = np.array([sum(weights[f] * x for f, x in features(t, weights).items()) for t in batch.column(at).to_pylist()], dtype=np.float64)
             over = scores[:, None] - np.array(shared.value.thresholds)
             found = [pa.array(_sigmoid(over).sum(axis=1)), pa.array((over > 0).sum(axis=1), pa.int32()), pa.array(over[:, 0] > 0)]

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import sys
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,46 +12,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import as_uri, shared_dir, ship
+
+__all__ = ["as_uri", "shared_dir", "ship"]
+
 #: The contract's white space: space and the ASCII controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Largest side, in estimated bytes, that ``join_sized`` broadcasts.
 BROADCAST_BYTES = 48 << 20
 
-_shipped: set[str] = set()
 #: The C library, where it can give memory back.
 _libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="siltstone-"), "siltstone_pkg.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="siltstone-shared-")
-        sc.setCheckpointDir(base)
-    return base
-
-
 def store(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back; this cuts the lineage."""
     spark = df.sparkSession

@@ -88,10 +88,21 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
+OP3_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, pos, ws[pos] AS word FROM t, unnest(range(1, len(ws) + 1)) AS u(pos)),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM t, unnest(range(1, len(ws) - 11)) AS u(i)),
+m AS (SELECT gram, min(doc_id) AS least FROM g GROUP BY gram),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT g.doc_id, i FROM g JOIN m USING (gram) WHERE least < g.doc_id), unnest(range(0, 13)) AS u(j)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS body FROM w ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_main_text, op2_source_mixing, op3_substring_dedup, op4_sentencepiece, op5_language_id, op6_toxicity, op7_simhash_near_dedup, op8_token_files, op9_exact_dedup, op10_additive_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL}

@@ -310,7 +310,5 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **opti
     """Write the ids of ``docs`` and read them back; see ``write_ids`` and ``read_ids``."""
     import uuid
 
-    path = path or f"{common.shared_dir(docs.sparkSession)}/siltstone/ids-{uuid.uuid4().hex}"
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
+    path = common.as_uri(path or f"{common.shared_dir(docs.sparkSession)}/siltstone/ids-{uuid.uuid4().hex}")
     return read_ids(write_ids(docs, path, tokenizer, **options), path)

@@ -15,9 +15,15 @@ from ..operators import classify, inventory, latest, lookup, ratios
 MIB = 1 << 20
 
 
+# Beginnings and names of folders that are no games.
+TOOL_BEGINNINGS = ("SteamLinuxRuntime", "Proton")
+TOOL_NAMES = ("Steamworks Shared", "Steam Controller Configs")
+
+
 def ignored(name: Column) -> Column:
     """Runtimes and tools that are no games."""
-    return F.startswith(name, F.lit("SteamLinuxRuntime")) | F.startswith(name, F.lit("Proton")) | name.isin("Steamworks Shared", "Steam Controller Configs")
+    begins = F.startswith(name, F.lit(TOOL_BEGINNINGS[0])) | F.startswith(name, F.lit(TOOL_BEGINNINGS[1]))
+    return begins | name.isin(*TOOL_NAMES)
 
 
 def game_status(games: DataFrame, files: DataFrame, state: DataFrame, completions: DataFrame, ratio_table: DataFrame, min_gain_pct: float = 5.0, min_size_mib: int = 0) -> DataFrame:

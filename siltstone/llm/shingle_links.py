@@ -51,7 +51,10 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): proposed pairs of doc_ids, b below a, whose shingle sets' Jaccard similarity is ``similarity`` or more. Rows without an id or a word give none."""
+    """(a, b): proposed pairs of doc_ids, b below a, whose shingle sets' Jaccard similarity is ``similarity`` or more.
+
+    Rows without an id or a word give none; of rows that share an id the least sketch and set stand for all.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     rows = common.text_id(docs, id_col, text_col).filter("doc_id is not null and text is not null")
@@ -61,7 +64,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             made = [sketch(s) if len(s := shingle_set(t, width)) else None for t in common.utf8(batch.column(1)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if m is None else m.tobytes() for m in made], pa.binary())], names=["doc_id", "sketch"])
 
-    sketches = common.store(rows.mapInArrow(draw, "doc_id long, sketch binary").filter("sketch is not null"), "sketches")
+    # One row an id, so that the joins below read written tables on both sides and Spark can split the rows of an id that many links name.
+    drawn = rows.mapInArrow(draw, "doc_id long, sketch binary").filter("sketch is not null")
+    sketches = common.store(drawn.groupBy("doc_id").agg(F.min("sketch").alias("sketch")), "sketches")
     buckets = common.n_buckets(spark, sketches.count() * BANDS, 200_000)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +99,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             near = (x == y).mean(axis=1) >= similarity - SLACK
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
 
-    own = sketches.dropDuplicates(["doc_id"])
-    both = proposed.join(own.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
+    both = proposed.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
     likely = common.store(both.select("a", "b", "x", "y").mapInArrow(screen, "a long, b long"), "likely")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +108,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
     needed = common.store(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "needed")
-    sets = common.store(common.join_sized(rows, needed, "doc_id", "left_semi", 32).mapInArrow(gather, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
+    sets = common.store(common.join_sized(rows, needed, "doc_id", "left_semi", 32).mapInArrow(gather, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingles")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):

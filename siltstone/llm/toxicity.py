@@ -44,6 +44,9 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 5e-5,
 
     The thresholds are t_0 and t_0 plus positive steps (exponentials), so they stay in order.
     """
+    # Equal rows are one row with their share as its weight.
+    rows, counts = np.unique(np.c_[x, grade], axis=0, return_counts=True)
+    x, grade, share = np.ascontiguousarray(rows[:, :-1]), rows[:, -1].astype(np.int64), counts / max(1, counts.sum())
     n, d = x.shape
     w, s = np.zeros(d), np.r_[1.0, np.zeros(grades - 2)]
 
@@ -57,12 +60,12 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 5e-5,
         slope = above * (1 - above)
         p = np.maximum(above[np.arange(n), grade] - above[np.arange(n), grade + 1], 1e-12)
         low, high = slope[np.arange(n), grade] / p, slope[np.arange(n), grade + 1] / p
-        dz = -(low - high) / n
-        dt = np.array([(np.where(grade == k + 1, low, 0) - np.where(grade == k, high, 0)).sum() / n for k in range(grades - 1)])
+        dz = -(low - high) * share
+        dt = np.array([((np.where(grade == k + 1, low, 0) - np.where(grade == k, high, 0)) * share).sum() for k in range(grades - 1)])
         ds = np.r_[dt.sum(), [np.exp(s[j]) * dt[j:].sum() for j in range(1, grades - 1)]]
         return x.T @ dz, ds
 
-    step = 4.0 / max(1.0, np.linalg.norm(x, 2) ** 2 / n) if n and d else 1.0
+    step = 4.0 / max(1.0, np.linalg.norm(x * np.sqrt(share)[:, None], 2) ** 2) if n and d else 1.0
     v, u, a = w.copy(), s.copy(), 1.0
     for _ in range(rounds):
         gw, gs = gradient(v, u)

@@ -150,8 +150,9 @@ def _spanning(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints that meet at the anchors of one bucket, as a forest."""
+    fp = fp.view(np.uint64)  # the lookup below needs them in unsigned order
     order = np.lexsort((fp, anchor))
-    anchor, fp, home = anchor[order], fp[order].view(np.uint64), home[order]
+    anchor, fp, home = anchor[order], fp[order], home[order]
     at = np.flatnonzero(home)
     low, high = np.searchsorted(anchor, anchor[at], "left"), np.searchsorted(anchor, anchor[at], "right")
     size = high - low

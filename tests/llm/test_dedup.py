@@ -129,6 +129,21 @@ def test_many_visitors_are_looked_up(monkeypatch):
     assert len(pairs[0]) and sorted(zip(*map(list, pairs))) == sorted(zip(*map(list, other)))
 
 
+def test_many_visitors_on_both_sides_of_bit_63(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(5)
+    x = rng.getrandbits(63)
+    near = {x ^ sum(1 << b for b in rng.sample(range(40), rng.randrange(4))) for _ in range(300)}
+    far = (1 << 63) | 0b11111 << 50
+    fps = np.array(sorted(near | {y ^ far for y in near}), dtype=np.uint64).view(np.int64)
+    anchor, home = np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+    pairs = simhash._compare(anchor, fps, home, 2)
+    monkeypatch.setattr(simhash, "_MANY", 10)
+    other = simhash._compare(anchor, fps, home, 2)
+    assert len(pairs[0]) > 300 and sorted(zip(*map(list, pairs))) == sorted(zip(*map(list, other)))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (300, 200)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -63,6 +63,15 @@ class SuffixAutomaton:
                 self.link[new] = self._split(p, c)
             last = new
 
+    def holds(self, sequence: list[int]) -> bool:
+        """Whether ``sequence`` lies as a whole in one of the sequences."""
+        state = 0
+        for c in sequence:
+            if c not in self.next[state]:
+                return False
+            state = self.next[state][c]
+        return True
+
     def spans(self, sequence: list[int], least: int) -> list[tuple[int, int]]:
         """The maximal spans of ``sequence`` that matches of ``least`` or more elements cover."""
         out: list[tuple[int, int]] = []
@@ -180,7 +189,8 @@ def _match(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
         else:
             sequence = [known.setdefault(w, len(known)) for w in contents[p].split(b" ")]
             spans = automaton.spans(sequence, window)
-            if spans == [(0, size[p])]:
+            # Where several matches cover a passage, the windows across their seams are new.
+            if spans == [(0, size[p])] and automaton.holds(sequence):
                 whole[p] = 1
             else:
                 waiting.append((p, sequence))

@@ -216,6 +216,16 @@ def test_substring_random(docs):
     assert removed(substring_dedup.remove_repeats(docs(rows))) == repeats(rows)
 
 
+def test_substring_windows_across_a_seam(docs):
+    rng = random.Random(12)
+    rows = []
+    for g in range(60):
+        p = sentence(rng, 20)
+        for c, (a, b) in enumerate([(0, 15), (5, 20), (0, 20), (3, 17)]):
+            rows.append((g * 10 + c, " ".join(sentence(rng, 8) + p[a:b] + sentence(rng, 8))))
+    assert removed(substring_dedup.remove_repeats(docs(rows))) == repeats(rows)
+
+
 def test_substring_full_filter(docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FILTER_BITS", 64)
     rng = random.Random(10)

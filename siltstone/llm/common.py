@@ -71,6 +71,11 @@ def text_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def node(doc_id: Column | str, text: Column | str) -> Column:
+    """A 64-bit hash of a row's id and text: equal for equal rows, and never null."""
+    return F.xxhash64(doc_id, text)
+
+
 def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows dealt to buckets, as one row a bucket whose columns hold the bytes of its values."""
     if not len(bucket):

@@ -40,10 +40,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty result; further columns are not read. ``digest`` (a function of the normalised text) may be
     any digest, collisions are found by bytes.
     """
+    return _grouped(docs, id_col, text_col, digest).drop("node")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, digest=sha256) -> DataFrame:
+    """The rows of ``exact_dedup`` with their ``node`` (see ``common.node``)."""
     rows = common.text_id(docs, id_col, text_col)
     norm = normalised(F.col("text"))
-    flushed = rows.select("doc_id", norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("n_cp"))
-    flushed = flushed.select("doc_id", "n_cp", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256"), F.monotonically_increasing_id().alias("row_id"))
+    flushed = rows.select("doc_id", common.node("doc_id", "text").alias("node"), norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("n_cp"))
+    flushed = flushed.select("doc_id", "node", "n_cp", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256"), F.monotonically_increasing_id().alias("row_id"))
     runs = common.store(flushed.sortWithinPartitions("digest"), "runs", **_RUN)
     index = common.store(_compact(runs), "index", **_RUN)
     hits = index.filter("group_size > 1")
@@ -64,34 +69,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("row_id") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
+        "node",
     )
 
 
 def _by_bytes(rows: DataFrame, norm: Column, digest, clash: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The runs and their index where texts with a clashing digest are told apart by their bytes."""
-    flushed = rows.select("doc_id", norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("n_cp"))
+    flushed = rows.select("doc_id", common.node("doc_id", "text").alias("node"), norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("n_cp"))
     flushed = flushed.select("*", digest(F.col("norm")).alias("plain")).join(clash.withColumnRenamed("digest", "plain").withColumn("two", F.lit(True)), "plain", "left")
     key = F.when(F.col("two"), F.concat(F.col("plain").cast("string"), F.lit(":"), F.col("norm"))).otherwise(F.col("plain").cast("string"))
-    runs = common.store(flushed.select("doc_id", "n_cp", key.alias("digest"), sha256(F.col("norm")).alias("text_sha256"), F.monotonically_increasing_id().alias("row_id")), "runs")
+    runs = common.store(flushed.select("doc_id", "node", "n_cp", key.alias("digest"), sha256(F.col("norm")).alias("text_sha256"), F.monotonically_increasing_id().alias("row_id")), "runs")
     return runs, common.store(_compact(runs), "index")
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays."""
-    found = common.store(exact_dedup(docs, id_col, text_col).select("doc_id", "keep_id", "kept"), "dropped")
-    drop = found.filter(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    again = found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    return drop_rows(docs, id_col, drop, again)
-
-
-def drop_rows(docs: DataFrame, id_col: str, drop: DataFrame, again: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``drop``; of the rows with an id in ``again``, one stays."""
-    key = F.col(id_col).cast("long")
-    gone = drop.select(F.col("doc_id").alias("_gone"))
-    kept = common.join_sized(docs, gone, key.eqNullSafe(F.col("_gone")), "left_anti", 32)
-    if not again.take(1):
-        return kept
-    twice = again.select(F.col("doc_id").alias("_twice"))
-    once = common.join_sized(kept, twice, key.eqNullSafe(F.col("_twice")), "left_semi", 32)
-    rest = common.join_sized(kept, twice, key.eqNullSafe(F.col("_twice")), "left_anti", 32)
-    return rest.unionByName(once.dropDuplicates([id_col]))
+    """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text one stays. Rows that only share an id, or have none, are told apart by their texts."""
+    groups = _grouped(docs, id_col, text_col).filter("group_size > 1")
+    found = common.store(groups.groupBy("node").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "dropped")
+    return drop_rows(docs, id_col, text_col, found.filter("not kept").select("node"), found.filter("kept and n > 1").select("node"))
+
+
+def drop_rows(docs: DataFrame, id_col: str, text_col: str, drop: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose node (see ``common.node``) is in ``drop``; of the rows with a node in ``again``, one stays."""
+    marked = docs.withColumn("_node", common.node(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    kept = common.join_sized(marked, drop.withColumnRenamed("node", "_node"), "_node", "left_anti", 32)
+    if again.take(1):
+        twice = again.withColumnRenamed("node", "_node")
+        once = common.join_sized(kept, twice, "_node", "left_semi", 32).dropDuplicates(["_node"])
+        kept = common.join_sized(kept, twice, "_node", "left_anti", 32).unionByName(once)
+    return kept.drop("_node")

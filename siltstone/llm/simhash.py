@@ -224,21 +224,34 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _near(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int, similarity: float) -> DataFrame:
+    """node (see ``common.node``), doc_id, component_id, keep (the node that stays), one row a row of ``docs``."""
+    rows = common.text_id(docs, id_col, text_col).select("doc_id", common.node("doc_id", "text").alias("node"), "text")
+    own = common.store(simhash_components(rows, "node", "text", width, threshold).select(F.col("doc_id").alias("node"), "component_id"), "near")
+    close = own.filter("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    links = close.unionAll(similar_links(rows, "node", "text", width, similarity)).distinct()
+    parts = connected_components(links).select("node", "component")
+    named = common.join_sized(rows.select("node", "doc_id"), parts, "node", "left", 32).select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = common.store(named, "named")
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("least"), F.count("*").alias("n"))
+    least = common.store(least.filter("n > 1").select("component", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("keep")), "least")
+    found = common.join_sized(named, least, "component", "left", 48)
+    alone = F.col("keep").isNull()
+    return found.select("node", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("keep", "node").alias("keep"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id by links of either kind: fingerprints within ``threshold`` bits, or shingle sets of Jaccard ``similarity`` or more.
 
-    Repeated rows stay.
+    Repeated rows stay; a null doc_id names a component only if all its members' ids are null.
     """
-    own = common.store(simhash_components(docs, id_col, text_col, width, threshold).select("doc_id", "component_id"), "near")
-    close = own.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    links = close.unionAll(similar_links(docs, id_col, text_col, width, similarity)).distinct()
-    parts = connected_components(links).select(F.col("node").alias("doc_id"), "component")
-    return common.join_sized(own.select("doc_id"), parts, "doc_id", "left", 32).select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return _near(docs, id_col, text_col, width, threshold, similarity).select("doc_id", "component_id")
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component (see ``near_components``), with all their columns; of repeated rows one stays."""
-    found = common.store(near_components(docs, id_col, text_col, width, threshold, similarity), "components")
-    drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    again = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    return drop_rows(docs, id_col, drop, again)
+    """The rows of ``docs`` with the smallest doc_id of their component (see ``near_components``), with all their columns; of rows equal in id and text one stays.
+
+    Rows that only share an id, or have none, are told apart by their texts: of a component they stay for one text.
+    """
+    found = common.store(_near(docs, id_col, text_col, width, threshold, similarity).groupBy("node", "keep").count(), "components")
+    return drop_rows(docs, id_col, text_col, found.filter("node <> keep").select("node"), found.filter("node = keep and count > 1").select("node"))

@@ -180,6 +180,14 @@ def test_similar_links(docs):
     assert {i for i in sets if parent[i] != i} & kept == set()
 
 
+def test_null_and_reused_ids_keep_their_texts(docs):
+    rng = random.Random(13)
+    t = [" ".join(sentence(rng, 120)) for _ in range(6)]
+    rows = [(1, t[0]), (None, t[0]), (None, t[1]), (None, t[2]), (2, t[3]), (3, t[4]), (3, t[3]), (3, t[5]), (3, t[5])]
+    for kept in exact_dedup.keep_documents(docs(rows)), simhash.keep_documents(docs(rows)):
+        assert sorted((r.doc_id or 0, t.index(r.text)) for r in kept.collect()) == [(0, 1), (0, 2), (1, 0), (2, 3), (3, 4), (3, 5)]
+
+
 def repeats(rows, n=13):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}

@@ -180,6 +180,26 @@ def test_similar_links(docs):
     assert {i for i in sets if parent[i] != i} & kept == set()
 
 
+def templated(rng, n, pairs):
+    """Texts of one template, pairwise at a similarity of about 0.7, and copies of some at 0.83, with distant ids."""
+    base, rows = sentence(rng, 300), []
+    for i in range(n):
+        rows.append((i, base + [f"own{i}x{k}" for k in range(56)]))
+    for i in rng.sample(range(n), pairs):
+        w = list(rows[i][1])
+        w[303:352:8] = [f"copy{k}" for k in range(7)]
+        rows.append((n + i, w))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_similar_links_in_templated_families(docs, monkeypatch):
+    monkeypatch.setattr(shingle_links, "BLOCK", 24)
+    rows = templated(random.Random(14), 300, 30)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert len(want) == 30 and {(r.a, r.b) for r in shingle_links.similar_links(docs(rows)).collect()} == want
+
+
 def test_null_and_reused_ids_keep_their_texts(docs):
     rng = random.Random(13)
     t = [" ".join(sentence(rng, 120)) for _ in range(6)]

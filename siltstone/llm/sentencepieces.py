@@ -1,12 +1,16 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi; models of the BPE type are encoded by their merges.
 
 At each end position the automaton's output links give every piece that ends there, longest first; each relaxes the best score of the position.
 Characters that are no piece cost the least score less ten, and become byte pieces where the model has them. No piece goes on from another character
 to the space mark, so text is cut before the marks and each different cut is scored once.
+
+The scores of a BPE model are ranks of merges, not log-probabilities, and a Viterbi over them gives other ids than the model's; there, of the neighbours
+whose join is a piece those of the best score are joined first, the leftmost of equals.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,6 +38,7 @@ class Model:
     decoded: list[bytes]
     dummy_prefix: bool
     key: str
+    bpe: bool = False
 
 
 def load_model(path: str) -> Model:
@@ -43,7 +48,10 @@ def load_model(path: str) -> Model:
 
     with open(path, "rb") as file:
         data = file.read()
-    spec = proto.ModelProto.FromString(data).normalizer_spec
+    whole = proto.ModelProto.FromString(data)
+    spec, kind = whole.normalizer_spec, whole.trainer_spec.model_type
+    if kind not in (proto.TrainerSpec.UNIGRAM, proto.TrainerSpec.BPE) or any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in whole.pieces):
+        raise ValueError(f"{path}: only unigram and BPE models without pieces of the user are read")
     if spec.name != "identity" or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
         raise ValueError(f"{path}: only models with the identity normaliser are read")
     sp = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -61,7 +69,7 @@ def load_model(path: str) -> Model:
             decoded.append(piece.replace(MARK, " ").encode())
             if not sp.is_unused(i):
                 pieces.append((i, piece, sp.get_score(i)))
-    return Model(pieces, bytes_, sp.unk_id(), decoded, spec.add_dummy_prefix, f"{path}:{zlib.crc32(data)}")
+    return Model(pieces, bytes_, sp.unk_id(), decoded, spec.add_dummy_prefix, f"{path}:{zlib.crc32(data)}", kind == proto.TrainerSpec.BPE)
 
 
 _CUTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -117,6 +125,9 @@ class Encoder:
             at = start
         return out[::-1], best[n]
 
+    def path(self, text: str) -> list[int]:
+        return self.viterbi(text)[0]
+
     def _cut_ids(self, cut: str) -> bytes:
         found = self.known.get(cut)
         if found is None:
@@ -124,7 +135,7 @@ class Encoder:
                 lines = cut.split("\n")
                 found = self._cut_ids("\n").join(self._cut_ids(x) if x else b"" for x in lines)
             else:
-                found = np.array(self.viterbi(cut)[0], dtype="<i4").tobytes()
+                found = np.array(self.path(cut), dtype="<i4").tobytes()
             if len(cut) <= LONGEST and len(self.known) < REMEMBERED:
                 self.known[cut] = found
         return found
@@ -147,12 +158,46 @@ class Encoder:
         return data[self.model.dummy_prefix and data[:1] == b" " :].decode(errors="replace")
 
 
+class MergeEncoder(Encoder):
+    """Encodes with the merges of a BPE model."""
+
+    def __init__(self, model: Model):
+        super().__init__(model)
+        self.merges = {p: (-s, i) for i, p, s in model.pieces}
+
+    def path(self, text: str) -> list[int]:
+        """The ids of ``text``, which has marks for spaces, by the model's merges."""
+        merges, n = self.merges, len(text)
+        parts, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = [(merges[text[i : i + 2]][0], i, i + 1, text[i : i + 2]) for i in range(n - 1) if text[i : i + 2] in merges]
+        heapq.heapify(agenda)
+        while agenda:
+            _, i, j, piece = heapq.heappop(agenda)
+            if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != len(piece):
+                continue  # one of them was joined since
+            parts[i], parts[j], after[i] = piece, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (joined := parts[a] + parts[b]) in merges:
+                    heapq.heappush(agenda, (merges[joined][0], a, b, joined))
+        out: list[int] = []
+        for part in parts:
+            if part in merges:
+                out.append(merges[part][1])
+            elif part and self.model.byte_ids:
+                out.extend(self.model.byte_ids[b] for b in part.encode())
+            elif part and not (out and out[-1] == self.model.unknown):
+                out.append(self.model.unknown)
+        return out
+
+
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(model: Model) -> Encoder:
     if model.key not in _encoders:
-        _encoders[model.key] = Encoder(model)
+        _encoders[model.key] = (MergeEncoder if model.bpe else Encoder)(model)
     return _encoders[model.key]
 
 

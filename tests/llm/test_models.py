@@ -169,6 +169,15 @@ def test_pieces_match_the_library():
         assert coder.encode(text).tolist() == sp.encode(text)
 
 
+def test_pieces_are_those_of_the_models_type(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    coder = sentencepieces.encoder(sentencepieces.load_model(PIECES))
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").limit(100).collect()
+    for text in ["the approval of generated words", *[t for t in ODD_TEXTS if t], *[r.text for r in rows if r.text]]:
+        assert coder.encode(text).tolist() == sp.encode(text)
+
+
 def test_pieces_table(docs):
     got = {r.doc_id: r for r in sentencepieces.encode_documents(docs(list(enumerate(ODD_TEXTS))), PIECES).collect()}
     coder = sentencepieces.Encoder(sentencepieces.load_model(PIECES))

@@ -22,32 +22,60 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, units
 
 MAGIC = b"SILTDAC1"
 RANK_BITS = 512
-#: Ids in a file at most, but for the last document's, and remembered pieces of text in a worker.
-FILE_IDS = 2 << 20
-REMEMBERED = 500_000
+#: Ids in a file at most, but for the last document's, and characters encoded at once.
+FILE_IDS, BLOCK = 2 << 20, 4 << 20
 
 
 # --- encoding ----------------------------------------------------------------------------------------------------
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_BLANKS = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " "]
-#: Units of the byte-level pattern that a piece can be cut into: Latin letters, signs but the apostrophe, single line ends inside.
-_LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
-_UNIT = re.compile(rf"[{_LATIN}]+|[!-&(-/:-@\[-`{{-~]+|\n")
-_PLAIN = re.compile(rf"(?:[{_LATIN}]+|[!-&(-/:-@\[-`{{-~]+|(?<!\n)\n(?=[{_LATIN}!-&(-/:-@\[-`{{-~]))+\Z")
+# Classes of bytes. Letters are those of ASCII and the bytes of U+00C0 to U+027F; other leading bytes are odd.
+_SPACE, _LETTER, _DIGIT, _SIGN, _BLANK, _ODD, _EDGE = range(7)
+_CLASS = np.full(256, _SIGN, dtype=np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+_CLASS[48:58], _CLASS[9:14], _CLASS[32], _CLASS[units.EDGE] = _DIGIT, _BLANK, _SPACE, _EDGE
+_CLASS[[*range(0xC0, 0xC3), *range(0xCA, 0xFF)]] = _ODD
+# White space beyond ASCII; a text that has any is encoded whole.
+_WIDE_BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def _cut(text: str | None) -> list[str]:
-    """A text's pieces: cut at each space that stands between two characters that are not white space."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or text[-1] == " " or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _BLANKS):
-        return _CUT.split(text)
-    return text.split(" ")
+def byte_level_starts(data: bytes) -> np.ndarray:
+    """Where the words of the byte-level pattern begin, in texts that ``units.joined`` made.
+
+    The pattern: an apostrophe with s, t, m, d, re, ve or ll; letters, digits or signs, each with a space ahead of them; white space but for its last character; white space. What stands between two
+    spaces and has an odd character is left in one, for the library to cut.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    kind = _CLASS[raw]
+    n = len(raw)
+    after = np.append(raw[1:], units.EDGE)
+    kind[(raw == 0xC3) & ((after == 0x97) | (after == 0xB7))] = _ODD  # the signs for times and divided by
+    before, follows = np.append(_EDGE, kind[:-1]).astype(np.uint8), np.append(kind[1:], _EDGE).astype(np.uint8)
+    white = (kind == _SPACE) | (kind == _BLANK)
+    white_before, white_after = (before == _SPACE) | (before == _BLANK), (follows == _SPACE) | (follows == _BLANK)
+    start = kind != before
+    # Of white space its first and its last character begin a word, the last one not at a text's end; a last space goes with what follows.
+    start[white] = ~white_before[white] | (~white_after & (follows != _EDGE))[white]
+    start &= white | (before != _SPACE)
+    start |= kind == _EDGE
+    # Contractions: an apostrophe alone between what is no space and a letter.
+    for at in np.flatnonzero((raw == 39) & (before != _SIGN) & (before != _SPACE) & (follows == _LETTER)).tolist():
+        size = 2 if data[at + 1 : at + 2] in (b"s", b"t", b"m", b"d") else 3 if data[at + 1 : at + 3] in (b"re", b"ve", b"ll") else 0
+        if size:
+            start[at + 1] = False
+            if kind[at + size] == _LETTER:
+                start[at + size] = True
+    odd = np.cumsum(kind == _ODD)
+    if odd[-1]:
+        cut = np.flatnonzero(((kind == _SPACE) & ~white_before & ~white_after & (before != _EDGE) & (follows != _EDGE)) | (before == _EDGE) | (kind == _EDGE))
+        held = np.diff(np.append(np.append(0, odd)[cut], odd[-1])) > 0
+        inside = np.repeat(held, np.diff(np.append(cut, n)))
+        start[inside] = False
+        start[cut] = True
+    return np.flatnonzero(start)
 
 
 def _byte_signs() -> dict[int, str]:
@@ -58,84 +86,78 @@ def _byte_signs() -> dict[int, str]:
 
 
 class _Encoder:
-    """A tokenizer with the ids (as bytes) of the pieces behind a space and of the units that it has seen."""
+    """A tokenizer; for one of the byte-level kind with the pool of the words that it has seen."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, end_id: int | None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.made = Tokenizer.from_str(spec)
-        self.made.encode_special_tokens = True
-        self.after: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        plain = isinstance(self.made.pre_tokenizer, pre_tokenizers.ByteLevel) and self.made.normalizer is None and not self.made.pre_tokenizer.add_prefix_space
-        self.signs = _byte_signs() if plain else None
-        if plain:
+        self.made, self.end = Tokenizer.from_str(spec), [] if end_id is None else [end_id]
+        self.added = [t.content for t in self.made.get_added_tokens_decoder().values()]
+        shape = self.made.pre_tokenizer
+        self.plain = isinstance(shape, pre_tokenizers.ByteLevel) and self.made.normalizer is None and not shape.add_prefix_space and shape.use_regex
+        if self.plain:
             self.bare = Tokenizer(self.made.model)
             self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            # 0xFE is no byte of UTF-8: it parts the words of a line.
+            self.signs = _byte_signs() | {0xFE: " "}
             self.length = np.zeros(self.made.get_vocab_size(), dtype=np.int64)
             for token, i in self.made.get_vocab().items():
                 self.length[i] = len(token)
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that follow a space."""
-        if not self.signs:
-            return self.whole([f" {p}" for p in pieces])
-        cut = [_UNIT.findall(p) if _PLAIN.match(p) else None for p in pieces]
-        for c in cut:
-            if c:
-                c[0] = " " + c[0]
-        get = self.units.get
-        found = [[get(u) for u in c] if c else None for c in cut]
-        missing = list(dict.fromkeys(u for c, f in zip(cut, found) if f and None in f for u, x in zip(c, f) if x is None))
-        fresh = self._units(missing)
-        if len(self.units) + len(fresh) <= REMEMBERED:
-            self.units.update(fresh)
-        others = iter(self.whole([f" {p}" for p, c in zip(pieces, cut) if not c]))
-        return [next(others) if f is None else b"".join([fresh[u] if x is None else x for u, x in zip(c, f)]) for c, f in zip(cut, found)]
-
-    def _units(self, units: list[str]) -> dict[str, bytes]:
-        """Each unit is one word of the pattern; a thousand at once are joined by the space, which no byte's sign is."""
-        out = []
-        for i in range(0, len(units), 1000):
-            part = [u.encode() for u in units[i : i + 1000]]
-            line = " ".join([u.decode("latin-1").translate(self.signs) for u in part])
-            ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(u) for u in part])) + 1
-            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            out += [data[a:b] for a, b in zip(at, at[1:])]
-        return dict(zip(units, out))
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.made.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-
-_encoders: dict[str, _Encoder] = {}
-
-
-def encode_texts(texts: list[str | None], spec: str, end_id: int | None = 0) -> list[bytes]:
-    """The ids of each text, by the tokenizer of the JSON text ``spec``, as little-endian unsigned 32-bit integers, with ``end_id`` behind them; null is empty.
-
-    Byte-level BPE splits text before a space that stands between two other characters, and never merges across; so texts are
-    cut there and each different piece is encoded once.
+            self.pool = units.UnitPool(self._words, self.end)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.made.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of the pattern, a thousand at once, and of stretches with odd characters, as the library cuts them."""
+        rare = [bool(_CLASS[list(w)].max() == _ODD or b"\xc3\x97" in w or b"\xc3\xb7" in w) if max(w) > 127 else False for w in words]
+        others = iter(self.whole([w.decode() for w, odd in zip(words, rare) if odd]))
+        common_ = [w for w, odd in zip(words, rare) if not odd]
+        found, sizes = [], np.zeros(len(words), dtype=np.int64)
+        for i in range(0, len(common_), 1000):
+            part = common_[i : i + 1000]
+            line = b"\xfe".join(part).decode("latin-1").translate(self.signs)
+            ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))) + 1
+            found.append((ids, np.diff(ends, prepend=0)))
+        if not any(rare):
+            return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+        plain = iter([y for ids, n in found for y in np.split(ids, np.cumsum(n)[:-1])])
+        each = [next(others) if odd else next(plain) for odd in rare]
+        sizes[:] = [len(x) for x in each]
+        return np.concatenate(each), sizes
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        whole = [bool(t) and (not self.plain or any(a in t for a in self.added) or (not t.isascii() and _WIDE_BLANKS.search(t) is not None)) for t in texts]
+        others = iter(self.whole([t for t, w in zip(texts, whole) if w]))
+        cut = [t.encode() if t else b"" for t, w in zip(texts, whole) if not w]
+        ours = iter(())
+        if cut:
+            if not self.plain:
+                ours = iter([np.array(self.end, dtype=np.uint32)] * len(cut))
+            else:
+                data = units.joined(cut)
+                starts = byte_level_starts(data)
+                ids, sizes = self.pool.ids(data, starts)
+                at = units.by_text(data, starts, sizes).tolist()
+                ours = (ids[a:b] for a, b in zip(at, at[1:]))
+        return [np.append(next(others), self.end).astype(np.uint32) if w else next(ours) for w in whole]
+
+
+_encoders: dict[tuple[str, int | None], _Encoder] = {}
+
+
+def encode_texts(texts: list[str | None], spec: str, end_id: int | None = 0) -> list[np.ndarray]:
+    """The ids of each text, as the tokenizer of the JSON text ``spec`` gives them without special tokens of its own (a text's own ``added tokens`` have their ids), with ``end_id`` behind them; null is empty.
+
+    Byte-level BPE never merges across the words of its pattern, so each different word is encoded once. Texts with an added token or white space beyond ASCII, and all texts of other
+    tokenizers, are encoded whole.
     """
-    if spec not in _encoders:
-        _encoders[spec] = _Encoder(spec)
-    coder = _encoders[spec]
-    end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
-    cut = [_cut(t) for t in texts]
-    heads = iter(coder.whole([c[0] for c in cut if c]))
-    get = coder.after.get
-    found = [[get(p) for p in c[1:]] for c in cut]
-    missing = list(dict.fromkeys(p for c, f in zip(cut, found) if None in f for p, x in zip(c[1:], f) if x is None))
-    if missing:
-        fresh = dict(zip(missing, coder.pieces(missing)))
-        if len(coder.after) + len(fresh) <= REMEMBERED:
-            coder.after.update(fresh)
-        found = [[fresh[p] if x is None else x for p, x in zip(c[1:], f)] if None in f else f for c, f in zip(cut, found)]
-    return [b"".join([next(heads), *f, end]) if c else end for c, f in zip(cut, found)]
+    coder = _encoders.get((spec, end_id)) or _encoders.setdefault((spec, end_id), _Encoder(spec, end_id))
+    return coder.encode(texts)
 
 
 # --- the file format ---------------------------------------------------------------------------------------------
@@ -261,11 +283,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
         held = 0
         for batch in common.slices(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in common.text_blocks([t or "" for t in texts]):
-                for key, data in zip(keys[a:b], encode_texts(texts[a:b], spec.value, end_id)):
+            for a, b in common.text_blocks([t or "" for t in texts], BLOCK):
+                for key, found in zip(keys[a:b], encode_texts(texts[a:b], spec.value, end_id)):
                     doc_ids.append(key)
-                    ids.append(np.frombuffer(data, dtype="<u4"))
-                    held += len(ids[-1])
+                    ids.append(found)
+                    held += len(found)
                     if held >= FILE_IDS:
                         flush()
                         held = 0

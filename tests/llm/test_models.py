@@ -190,7 +190,6 @@ def test_token_files(docs, spark):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(BPE)
-    made.encode_special_tokens = True
     rows = [(100 - i, t) for i, t in enumerate(ODD_TEXTS)] + [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = sorted(token_files.token_files(docs(rows), BPE).collect(), key=lambda r: r.start)
     start = 0
@@ -203,6 +202,26 @@ def test_token_files(docs, spark):
     assert [r.doc_id for r in twice] == [None, 1, 1]
 
 
+def test_token_ids_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    with open(BPE, encoding="utf-8") as file:
+        spec = file.read()
+    made = Tokenizer.from_str(spec)
+    assert token_files.encode_texts(["a <|endoftext|> b"], spec, None)[0].tolist() == [64, 220, 50256, 275]
+    rng = random.Random(5)
+    signs = list("abstmdrevlS  '''\n\t09.,-é×÷ª日😀\u3000\xa0ß|_")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(4000)] + ["x's 's 'S ''s a'll 've'd", "\n\n x", "'re", "a'réx", "a  ", "  a"]
+    assert [x.tolist() for x in token_files.encode_texts(texts, spec, None)] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+    other = Tokenizer.from_file(f"{queries.TOKENIZERS}/word_bpe_49k.json")
+    assert [x.tolist() for x in token_files.encode_texts(["A cat <|endoftext|>", None, ""], other.to_str(), 7)] == [[*other.encode("A cat <|endoftext|>", add_special_tokens=False).ids, 7], [7], [7]]
+
+
+def test_token_files_with_clashing_columns(spark):
+    df = spark.createDataFrame([(2, "b c", "x", 1), (1, "a", "y", 2)], "doc_id long, text string, tie string, start long")
+    assert sorted((r.doc_id, r.start) for r in token_files.token_files(df, BPE).collect()) == [(1, 0), (2, 2)]
+
+
 def test_id_files_have_random_access():
     rng = np.random.default_rng(0)
     docs_ = [rng.integers(0, 2 ** rng.integers(1, 32), rng.integers(0, 2000), dtype=np.uint64).astype(np.uint32) for _ in range(30)]

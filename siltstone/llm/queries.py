@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +19,11 @@ from .simhash import simhash_components
 from .substring_dedup import remove_repeats
 from .token_files import token_files
 
-#: Where the vocabulary files of the public tokenizers are; they are read from there and never copied.
-TOKENIZERS = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer(name: str) -> str:
+    """Where a vocabulary file of the public tokenizers is; it is read from there and never copied."""
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +45,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, round_trip."""
-    found = encode_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    found = encode_documents(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return found.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
 
 
@@ -63,7 +66,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_files(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

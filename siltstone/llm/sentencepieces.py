@@ -1,17 +1,17 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi; models of the BPE type are encoded by their merges.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single pass that keeps the best way to each position.
 
-At each end position the automaton's output links give every piece that ends there, longest first; each relaxes the best score of the position.
-Characters that are no piece cost the least score less ten, and become byte pieces where the model has them. No piece goes on from another character
-to the space mark, so text is cut before the marks and each different cut is scored once.
+At each end position the automaton's output links give every piece that ends there, longest first. For a unigram model each relaxes the best score of the position (Viterbi).
+Characters that are no piece cost the least score less ten, and become byte pieces where the model has them.
 
-The scores of a BPE model are ranks of merges, not log-probabilities, and a Viterbi over them gives other ids than the model's; there, of the neighbours
-whose join is a piece those of the best score are joined first, the leftmost of equals.
+The scores of a BPE model are ranks of merges, not log-probabilities, and a Viterbi over them gives other ids than the model's. There the same pass keeps at each position the last piece of the model's
+encoding up to it: of the pieces that end there, the one that agrees with the last piece before it. Two neighbours agree if the model's merges of their joint text give just these two,
+which the derivations of both tell; a row of pieces is the model's encoding if all neighbours agree.
+
+Where no piece holds two characters side by side, nothing is ever encoded across them; text is cut there into units that are encoded once (see ``units``).
 """
 
 from __future__ import annotations
 
-import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import common
+from . import common, units
 
 #: Fixed values of the SentencePiece format: the sign for a space, and what an unknown character costs below the least score.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
-#: Cuts of text remembered in a worker, of so many characters at most.
-REMEMBERED, LONGEST = 250_000, 64
+#: Characters encoded at once.
+BLOCK = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -72,11 +72,24 @@ def load_model(path: str) -> Model:
     return Model(pieces, bytes_, sp.unk_id(), decoded, spec.add_dummy_prefix, f"{path}:{zlib.crc32(data)}", kind == proto.TrainerSpec.BPE)
 
 
-_CUTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+def _joins(model: Model) -> np.ndarray:
+    """Whether two bytes side by side may be in one piece: of ASCII characters those that a piece holds side by side; all bytes beyond are one class (128), of which any two may."""
+    out = np.zeros((129, 129), dtype=bool)
+    place = lambda c: 32 if c == MARK else min(ord(c), 128)
+    for _, piece, _ in model.pieces:
+        for a, b in zip(piece, piece[1:]):
+            out[place(a), place(b)] = True
+    out[128, 128] = True
+    if not model.byte_ids:
+        # Unknown characters in a row have one id in common.
+        single = {p for _, p, _ in model.pieces if len(p) == 1}
+        lone = [i for i in range(128) if (MARK if i == 32 else chr(i)) not in single] + [128]
+        out[np.ix_(lone, lone)] = True
+    return out
 
 
 class Encoder:
-    """Encodes and decodes with a model; remembers the ids of the cuts it has seen."""
+    """Encodes and decodes with a model; remembers the ids of the units it has seen."""
 
     def __init__(self, model: Model):
         import ahocorasick
@@ -88,11 +101,11 @@ class Encoder:
         self.automaton.make_automaton()
         self.singles = {p for _, p, _ in model.pieces if len(p) == 1}
         self.least = min((s for _, _, s in model.pieces), default=0.0) - UNKNOWN_PENALTY
-        crossing = any(MARK in p.lstrip(MARK) for _, p, _ in model.pieces)
-        self.cuts = None if crossing else _CUTS
-        self.line_ends = any("\n" in p for _, p, _ in model.pieces)
-        self.known: dict[str, bytes] = {}
-        self.table = np.array([*model.decoded, b""], dtype=object)[:-1]
+        self.joins = _joins(model)
+        self.pool = units.UnitPool(self._units, [])
+        self.said = np.frombuffer(b"".join(model.decoded), dtype=np.uint8)
+        self.length = np.array([len(x) for x in model.decoded], dtype=np.int64)
+        self.begin = np.cumsum(self.length) - self.length
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
         """The ids of the best path through ``text``, which has marks for spaces, and its score."""
@@ -112,8 +125,12 @@ class Encoder:
             done += 1
             if text[done - 1] not in singles and best[done - 1] + least > best[done]:
                 best[done], back[done] = best[done - 1] + least, (done - 1, -1)
+        return self._spelled(text, back), best[n]
+
+    def _spelled(self, text: str, back: list[tuple[int, int]]) -> list[int]:
+        """The ids on the way back from the end; -1 stands for a character that is no piece."""
         out: list[int] = []
-        at = n
+        at = len(text)
         while at:
             start, i = back[at]
             if i >= 0:
@@ -123,73 +140,112 @@ class Encoder:
             elif not (out and out[-1] == self.model.unknown):
                 out.append(self.model.unknown)
             at = start
-        return out[::-1], best[n]
+        return out[::-1]
 
     def path(self, text: str) -> list[int]:
         return self.viterbi(text)[0]
 
-    def _cut_ids(self, cut: str) -> bytes:
-        found = self.known.get(cut)
-        if found is None:
-            if not self.line_ends and "\n" in cut and cut != "\n" and self.model.byte_ids:
-                lines = cut.split("\n")
-                found = self._cut_ids("\n").join(self._cut_ids(x) if x else b"" for x in lines)
-            else:
-                found = np.array(self.path(cut), dtype="<i4").tobytes()
-            if len(cut) <= LONGEST and len(self.known) < REMEMBERED:
-                self.known[cut] = found
-        return found
+    def _units(self, cut: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.path(u.decode().replace(" ", MARK)) for u in cut]
+        return np.array([i for f in found for i in f], dtype=np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in a row, and the place where each begins (one more at the end); empty texts have none."""
+        mark, lead = MARK.encode(), b" " if self.model.dummy_prefix else b""
+        data = units.joined([lead + (t.replace(mark, b" ") if mark in t else t) if t else b"" for t in texts])
+        raw = np.frombuffer(data, dtype=np.uint8)
+        kind = np.minimum(raw, 128)
+        start = np.append(True, ~self.joins[kind[:-1], kind[1:]]) if len(raw) else np.zeros(0, dtype=bool)
+        edge = raw == units.EDGE
+        start[edge] = True
+        start[1:][edge[:-1]] = True
+        starts = np.flatnonzero(start)
+        ids, sizes = self.pool.ids(data, starts)
+        return ids.astype("<i4"), units.by_text(data, starts, sizes)
 
     def encode(self, text: str | None) -> np.ndarray:
         """A text's ids; null and empty texts have none."""
-        if not text:
-            return np.zeros(0, dtype="<i4")
-        get, own = self.known.get, self._cut_ids
-        if self.cuts and self.model.dummy_prefix and "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text:
-            cuts = (MARK + text.replace(" ", f" {MARK}")).split(" ")
-        else:
-            marked = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-            cuts = self.cuts.findall(marked) if self.cuts else [marked]
-        return np.frombuffer(b"".join([get(c) or own(c) for c in cuts]), dtype="<i4")
+        return self.encode_all([text.encode() if text else b""])[0]
+
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The texts of ids whose places ``at`` bound; a literal space mark comes back as the space that it stands for."""
+        sizes = self.length[ids]
+        data = self.said[units.places(self.begin[ids], sizes)].tobytes()
+        ends = np.append(0, np.cumsum(sizes))[at].tolist()
+        return [data[a + (self.model.dummy_prefix and data[a : a + 1] == b" " and a < b) : b] for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; a literal space mark comes back as the space that it stands for."""
-        data = b"".join(self.table[np.asarray(ids, dtype=np.int64)].tolist())
-        return data[self.model.dummy_prefix and data[:1] == b" " :].decode(errors="replace")
+        ids = np.asarray(ids, dtype=np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].decode(errors="replace")
 
 
 class MergeEncoder(Encoder):
-    """Encodes with the merges of a BPE model."""
+    """Encodes as the merges of a BPE model do: of the neighbours whose join is a piece those of the best score are joined first, the leftmost of equals."""
 
     def __init__(self, model: Model):
         super().__init__(model)
-        self.merges = {p: (-s, i) for i, p, s in model.pieces}
+        # The places of the joins in the order of the merges.
+        order = sorted((p for p in model.pieces if len(p[1]) > 1), key=lambda p: -p[2])
+        scores = sorted({p[2] for p in order}, reverse=True)
+        place = {x: float(k) for k, x in enumerate(scores)}
+        self.rank = {p: place[score] for _, p, score in order}
+        self.number = {p: i for i, p, _ in model.pieces}
+        # Pieces that the merges of their own text don't give are never in an encoding.
+        never = [p for p in self.rank if self.merged(p, len(p)) != [p]]
+        for p in never:
+            self.automaton.remove_word(p)
+        if never:
+            self.automaton.make_automaton()
+        self.agreed: dict[tuple[str, str], bool] = {}
+
+    def merged(self, text: str, seam: int) -> list[str] | None:
+        """A short text's pieces by the merges themselves, or None once one joins what is on both sides of ``seam``."""
+        rank, none = self.rank.get, float("inf")
+        parts = list(text)
+        places = [rank(text[i : i + 2], none) for i in range(len(text) - 1)]
+        while places and (best := min(places)) < none:
+            i = places.index(best)
+            if i == seam - 1:
+                return None
+            seam -= i < seam
+            parts[i] += parts.pop(i + 1)
+            del places[i]
+            if i:
+                places[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(places):
+                places[i] = rank(parts[i] + parts[i + 1], none)
+        return parts
+
+    def agree(self, left: str, right: str) -> bool:
+        """Whether the merges of two pieces' joint text give these two."""
+        found = self.agreed[left, right] = self.merged(left + right, len(left)) == [left, right]
+        return found
 
     def path(self, text: str) -> list[int]:
-        """The ids of ``text``, which has marks for spaces, by the model's merges."""
-        merges, n = self.merges, len(text)
-        parts, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(merges[text[i : i + 2]][0], i, i + 1, text[i : i + 2]) for i in range(n - 1) if text[i : i + 2] in merges]
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, j, piece = heapq.heappop(agenda)
-            if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != len(piece):
-                continue  # one of them was joined since
-            parts[i], parts[j], after[i] = piece, "", after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (joined := parts[a] + parts[b]) in merges:
-                    heapq.heappush(agenda, (merges[joined][0], a, b, joined))
-        out: list[int] = []
-        for part in parts:
-            if part in merges:
-                out.append(merges[part][1])
-            elif part and self.model.byte_ids:
-                out.extend(self.model.byte_ids[b] for b in part.encode())
-            elif part and not (out and out[-1] == self.model.unknown):
-                out.append(self.model.unknown)
-        return out
+        """The ids of ``text``, which has marks for spaces: the pieces by which the merges encode it."""
+        n = len(text)
+        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        last: list[str | None] = [None] * (n + 1)
+        last[0] = ""
+        agreed, agree = self.agreed.get, self.agree
+        done = 0  # up to here each position has its last piece; a character that is no piece stands alone
+        for end, (size, i, _) in self.automaton.iter(text):
+            if last[end + 1] is not None:
+                continue
+            while done < end:
+                done += 1
+                if last[done] is None:
+                    last[done], back[done] = text[done - 1], (done - 1, self.number.get(text[done - 1], -1))
+            start = end + 1 - size
+            piece, before = text[start : end + 1], last[start]
+            fits = agreed((before, piece)) if start else True
+            if fits or (fits is None and agree(before, piece)):
+                last[end + 1], back[end + 1] = piece, (start, i)
+        while done < n:
+            done += 1
+            if last[done] is None:
+                last[done], back[done] = text[done - 1], (done - 1, self.number.get(text[done - 1], -1))
+        return self._spelled(text, back)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -214,13 +270,14 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(shared.value)
         for batch in common.slices(batches):
-            texts = batch.column(1).to_pylist()
-            for a, b in common.text_blocks([t or "" for t in texts], 8 << 20):
-                ids = [coder.encode(t) for t in texts[a:b]]
-                ends = np.cumsum([0, *map(len, ids)])
-                values = np.concatenate(ids) if ids else np.zeros(0, "<i4")
+            texts = [t or b"" for t in common.utf8(batch.column(1)).to_pylist()]
+            for a, b in common.text_blocks(texts, BLOCK):
+                ids, at = coder.encode_all(texts[a:b])
+                raw, ends = ids.tobytes(), (4 * at).tolist()
+                crcs = [zlib.crc32(raw[x:y]) for x, y in zip(ends, ends[1:])]
+                same = [x == y for x, y in zip(coder.decode_all(ids, at), texts[a:b])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())), pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([coder.decode(x) == (t or "") for x, t in zip(ids, texts[a:b])], pa.bool_())],
+                    [batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())],
                     names=["doc_id", "ids", "n_tokens", "ids_crc32", "round_trip"],
                 )
 

@@ -11,8 +11,7 @@ from siltstone.llm import html_text, language_id, mixing, neighbours, queries, s
 from ..conftest import DATA
 
 MEDIUM = "/root/testdata/sf0.01"
-PIECES = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
-BPE = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+PIECES, BPE = queries.tokenizer("piece_bpe_32k.model"), queries.tokenizer("byte_bpe_50k.json")
 ODD_TEXTS = [None, "", " ", "a", "  a  b ", "日本語 テスト\n\n 😀x", "\n", "tab\tx \x00", "x\n y", "a\x85 b", "it's <|endoftext|> ok's", "É's über-alles!! x1 q~", "word " * 2000, "a" * 5000]
 
 
@@ -178,6 +177,16 @@ def test_pieces_are_those_of_the_models_type(spark):
         assert coder.encode(text).tolist() == sp.encode(text)
 
 
+def test_neighbouring_pieces_agree_as_the_merges_do():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    coder = sentencepieces.encoder(sentencepieces.load_model(PIECES))
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("abstmdrevlSon  '\n\t09.,-é×日😀\u3000|_▁") for _ in range(rng.randrange(40)))
+        assert coder.encode(text).tolist() == sp.encode(text)
+
+
 def test_pieces_table(docs):
     got = {r.doc_id: r for r in sentencepieces.encode_documents(docs(list(enumerate(ODD_TEXTS))), PIECES).collect()}
     coder = sentencepieces.Encoder(sentencepieces.load_model(PIECES))
@@ -213,7 +222,7 @@ def test_token_ids_are_the_librarys():
     signs = list("abstmdrevlS  '''\n\t09.,-é×÷ª日😀\u3000\xa0ß|_")
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(4000)] + ["x's 's 'S ''s a'll 've'd", "\n\n x", "'re", "a'réx", "a  ", "  a"]
     assert [x.tolist() for x in token_files.encode_texts(texts, spec, None)] == [made.encode(t, add_special_tokens=False).ids for t in texts]
-    other = Tokenizer.from_file(f"{queries.TOKENIZERS}/word_bpe_49k.json")
+    other = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
     assert [x.tolist() for x in token_files.encode_texts(["A cat <|endoftext|>", None, ""], other.to_str(), 7)] == [[*other.encode("A cat <|endoftext|>", add_special_tokens=False).ids, 7], [7], [7]]
 
 

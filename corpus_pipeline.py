@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm import common, exact_dedup, mixing, sentencepieces, simhash, toxicity
 
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Pages of a host are merged into one tree: a style node is a path of elements with their classes, and says which sequences of children (presentation) and which texts (content)
 the host's pages show there. The entropy of either over the pages, relative to the log of their number, is the node's importance: what looks and reads the same on page after page has
-none. Branches of low importance go, beside the elements that HTML or their class names mark as no part of the article; articles' own paragraphs and headings stay.
+none, and its branch goes, whatever it is called. Boilerplate that differs from page to page, and pages of hosts with few pages, are left to rules on elements and class names. Articles' own paragraphs and
+headings stay. A page is parsed once: blocks and style nodes are written, the tree is made of the nodes, and the blocks are filtered by its low branches.
 """
 
 from __future__ import annotations
@@ -50,22 +51,23 @@ BODY_NAME = frozenset("article story post entry".split())
 _KEEPS = frozenset("h1 h2 h3 h4 h5 h6 p li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption br hr".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class _Node:
     tag: str
     path: int
-    parents: tuple[int, ...]
     out: bool
     article: bool
-    plain: bool
+    content: xxhash.xxh64
 
 
 @dataclass
 class Page:
-    """A page's blocks in order: text, whether a rule drops it, whether it is in an article, and its path from the top; and its style nodes."""
+    """A page's blocks in order: text, whether a rule drops it, whether it is in an article, and its style node; and the style nodes: the one above, the children's sequence, the text below."""
 
-    blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = field(default_factory=list)
+    blocks: list[tuple[str, bool, bool, int]] = field(default_factory=list)
+    up: dict[int, int] = field(default_factory=dict)
     looks: dict[int, int] = field(default_factory=dict)
+    contents: dict[int, xxhash.xxh64] = field(default_factory=dict)
     kept: set[int] = field(default_factory=set)
 
 
@@ -86,11 +88,14 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(page: str | None) -> Page:
-    """The blocks and style nodes of a page; null and empty pages have none."""
+    """The blocks and style nodes of a page, in time in proportion to its length; null and empty pages have none."""
     out = Page()
     if not page:
         return out
-    stack = [_Node("", 0, (), False, False, True)]
+    stack = [_Node("", 0, False, False, xxhash.xxh64())]
+    # Where each kind of element is open in the stack, and where those are that an end stays inside of.
+    open_: dict[str, list[int]] = {}
+    scopes: list[int] = [0]
     text: list[str] = []
     last: dict[int, str] = {}
 
@@ -100,14 +105,26 @@ def parse(page: str | None) -> Page:
             text.clear()
             if joined:
                 top = stack[-1]
-                out.blocks.append((joined, top.out, top.article, top.parents))
+                out.blocks.append((joined, top.out, top.article, top.path))
+                top.content.update(joined)
+                top.content.update("\n")
 
     def pop(to: int) -> None:
-        for node in stack[to:]:
-            if node.tag not in INLINE:
+        while len(stack) > to:
+            node = stack[-1]
+            if node.tag not in INLINE or node.out != stack[-2].out:
                 flush()
-                break
-        del stack[to:]
+            stack.pop()
+            open_[node.tag].pop()
+            if node.tag in SCOPE:
+                scopes.pop()
+            above = stack[-1]
+            if node.path != above.path:
+                digest = node.content.digest()
+                out.contents.setdefault(node.path, xxhash.xxh64()).update(digest)
+                above.content.update(digest)
+            elif node.content is not above.content:
+                above.content.update(node.content.digest())
 
     at = 0
     while at < len(page):
@@ -125,26 +142,19 @@ def parse(page: str | None) -> Page:
             continue
         tag = token[2].lower()
         if token[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop(i)
-                    break
-                if stack[i].tag in SCOPE and tag not in SCOPE:
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+            places = open_.get(tag)
+            if places and (tag in SCOPE or places[-1] > scopes[-1]):
+                pop(places[-1])
+            elif not places and tag not in INLINE:
+                flush()
             continue
         if tag not in INLINE:
             flush()
         if tag in ENDS_P or tag in ENDS:
             ends = ENDS.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    pop(i)
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+            to = max((open_[e][-1] for e in ends if open_.get(e)), default=0)
+            if to and to >= scopes[-1]:
+                pop(to)
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = closing.end() if closing else len(page)
@@ -161,43 +171,48 @@ def parse(page: str | None) -> Page:
         dropped = dropped or (not top.article and bool(names & NO_NAME_OUTSIDE) and tag not in ("html", "body", "main", "article")) or bool(_UNSEEN.search(attributes.get("style", "")))
         dropped = dropped or bool(names & NO_NAME and tag not in ("html", "body", "main") and not (tag == "article" and not names & {"comment", "comments", "related", "teaser", "ad", "promo"}))
         label = f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}" if names else tag
-        path = top.path if tag in INLINE else _path(top.path, label)
-        parents = top.parents if tag in INLINE or tag in ("html", "body") else (*top.parents, path)[-64:]
-        node = _Node(tag, path, parents, top.out or dropped, (top.article or opens or bool(names & BODY_NAME and tag in ("div", "section"))) and not dropped, not names)
-        if tag not in INLINE and tag not in ("html", "body"):
+        styled = tag not in INLINE and tag not in ("html", "body")
+        path = _path(top.path, label) if styled else top.path
+        if dropped and not top.out:
+            flush()
+        node = _Node(tag, path, top.out or dropped, (top.article or opens or bool(names & BODY_NAME and tag in ("div", "section"))) and not dropped, xxhash.xxh64() if styled else top.content)
+        if styled:
+            out.up[path] = top.path
             if last.get(top.path) != label:
                 out.looks[top.path] = _path(out.looks.get(top.path, 0), label)
                 last[top.path] = label
             out.looks.setdefault(path, 0)
             if opens or (node.article and tag in _KEEPS and not names):
                 out.kept.add(path)
+        open_.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
         stack.append(node)
     flush()
+    pop(1)
     return out
 
 
-def _candidates(page: Page) -> list[tuple[str, tuple[int, ...]]]:
-    """The blocks that the rules keep: those in articles where there are any, else all."""
-    held = [(t, a, p) for t, out, a, p in page.blocks if not out]
-    inside = any(a for _, a, _ in held)
-    return [(t, p) for t, a, p in held if a or not inside]
+def _candidates(page: Page) -> list[bool]:
+    """Whether the rules keep each block: those in articles where there are any, else all that no rule drops."""
+    inside = any(a and not out for _, out, a, _ in page.blocks)
+    return [not out and (a or not inside) for _, out, a, _ in page.blocks]
 
 
-def style_nodes(page: Page) -> Iterator[tuple[int, int, int, int]]:
-    """(path, look, content, page) of each style node: hashes of its children, of all text below it, and of the page's article."""
-    below: dict[int, list[str]] = {p: [] for p in page.looks}
-    for text, _, _, parents in page.blocks:
-        for p in parents:
-            below[p].append(text)
-    whole = xxhash.xxh64_intdigest("\n".join(t for t, _ in _candidates(page))) - (1 << 63)
-    for path, texts in below.items():
-        if path and path not in page.kept:
-            yield path, page.looks[path], xxhash.xxh64_intdigest("\n".join(texts)) - (1 << 63), whole
+def _below(paths: list[int], up: list[int], low: set[int]) -> list[bool]:
+    """Whether each style node (``up`` is the place of the one above it, which comes before it, or -1) is in ``low`` or under one that is."""
+    out: list[bool] = []
+    for p, u in zip(paths, up):
+        out.append(p in low or (u >= 0 and out[u]))
+    return out
 
 
 def main_text(page: Page, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's article without the branches in ``low``."""
-    return " ".join(t for t, parents in _candidates(page) if not any(p in low and p not in page.kept for p in parents))
+    paths = list(page.up)
+    place = {p: i for i, p in enumerate(paths)}
+    gone = _below(paths, [place.get(page.up[p], -1) for p in paths], low - page.kept)
+    return " ".join(t for (t, _, _, p), keep in zip(page.blocks, _candidates(page)) if keep and not (p in place and gone[place[p]]))
 
 
 def host(url):
@@ -205,44 +220,67 @@ def host(url):
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def low_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html", importance: float = IMPORTANCE, least: int = PAGES) -> DataFrame:
-    """(host, path) of the branches whose importance over the host's different pages is low. Pages with the same article count once for each look and content."""
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Each page read once: row_id, page_id, url, host; texts (of the blocks that the rules keep, else empty), kept and at (each block's style node); paths (of the style nodes, null for
+    those that always stay), up, looks, contents; article (a hash of what the rules keep)."""
     common.ship(pages.sparkSession)
+    own = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    own = own.withColumn("host", host(F.col("url"))).select("row_id", "page_id", "url", "host", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            rows: dict[str, set] = {}
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows.setdefault(name, set()).update(style_nodes(parse(page)))
-            flat = [(name, *r) for name, found in rows.items() for r in found]
-            columns = list(zip(*flat)) if flat else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "path", "look", "content", "page"])
-
-    own = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).filter("host is not null and html is not null")
-    nodes = own.mapInArrow(run, "host string, path long, look long, content long, page long")
+            rows = []
+            for page in map(parse, batch.column(4).to_pylist()):
+                paths, keep = list(page.up), _candidates(page)
+                place = {p: i for i, p in enumerate(paths)}
+                texts = [t if k else "" for (t, _, _, _), k in zip(page.blocks, keep)]
+                rows.append((texts, keep, [place.get(p, -1) for _, _, _, p in page.blocks], [None if p in page.kept else p for p in paths], [place.get(page.up[p], -1) for p in paths],
+                             [page.looks[p] for p in paths], [page.contents[p].intdigest() - (1 << 63) for p in paths], xxhash.xxh64_intdigest("\n".join(t for t in texts if t)) - (1 << 63)))
+            columns = list(zip(*rows)) if rows else [()] * len(_SHAPES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, t) for c, t in zip(columns, _SHAPES.values()))], names=["row_id", "page_id", "url", "host", *_SHAPES])
+
+    schema = "row_id long, page_id long, url string, host string, texts array<string>, kept array<boolean>, at array<int>, paths array<long>, up array<int>, looks array<long>, contents array<long>, article long"
+    return common.store(own.mapInArrow(run, schema), "parsed")
+
+
+_SHAPES = {
+    "texts": pa.list_(pa.string()), "kept": pa.list_(pa.bool_()), "at": pa.list_(pa.int32()), "paths": pa.list_(pa.int64()), "up": pa.list_(pa.int32()), "looks": pa.list_(pa.int64()),
+    "contents": pa.list_(pa.int64()), "article": pa.int64(),
+}
+
+
+def low_branches(parsed: DataFrame, importance: float = IMPORTANCE, least: int = PAGES) -> DataFrame:
+    """(host, path) of the branches whose importance over the host's different pages is low. Pages with the same article count once for each look and content."""
+    nodes = parsed.filter("host is not null").select("host", "article", F.inline(F.arrays_zip("paths", "looks", "contents"))).filter("paths is not null")
     # Counts by content first: the texts of a node are many, its looks few.
-    each = nodes.distinct().groupBy("host", "path", "look", "content").agg(F.count("*").alias("n"))
-    by_content = each.groupBy("host", "path", "look").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("c"))
-    by_look = by_content.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("looks"), F.sum("c").alias("contents"))
+    each = nodes.distinct().groupBy("host", F.col("paths").alias("path"), "looks", "contents").agg(F.count("*").alias("n"))
+    by_content = each.groupBy("host", "path", "looks").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("c"))
+    by_look = by_content.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("l"), F.sum("c").alias("c"))
     entropy = lambda c: (F.ln("m") - F.col(c) / F.col("m")) / F.ln("m")
-    return by_look.filter(F.col("m") >= least).filter(F.greatest(entropy("looks"), entropy("contents")) < importance).select("host", "path")
+    return by_look.filter(F.col("m") >= least).filter(F.greatest(entropy("l"), entropy("c")) < importance).select("host", "path")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text (the main text, empty if none), n_chars: one row a row of ``pages``.
+    """page_id, url, text (the main text, empty if none), n_chars, n_blocks, n_low (blocks in branches of low importance), n_named (other blocks that the rules drop): one row a row of ``pages``.
 
     Blocks are joined by a space in page order, white space inside is one space, character references are decoded. A null html is empty; a null url belongs to no host and loses no
     branch for its importance. Repeated rows stay and weigh once; an empty table gives an empty result; further columns are not read.
     """
-    spark = pages.sparkSession
-    low = common.store(low_branches(pages, url_col, html_col).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "branches")
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host(F.col(url_col)).alias("host"))
-    joined = common.join_sized(own, low, "host", "left", 512).select("page_id", "url", "html", "low")
-    common.ship(spark)
+    parsed = parsed_pages(pages, id_col, url_col, html_col)
+    low = common.store(low_branches(parsed), "branches")
+    shown = parsed.filter("host is not null").select("row_id", "host", F.explode("paths").alias("path")).filter("path is not null")
+    marks = common.store(common.join_sized(shown, low, ["host", "path"], "inner", 96).groupBy("row_id").agg(F.collect_set("path").alias("low")), "marks")
+    joined = common.join_sized(parsed, marks, "row_id", "left", 128).select("page_id", "url", "texts", "kept", "at", "paths", "up", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            texts = [main_text(parse(page), frozenset(out or ())) for page, out in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            found = []
+            for texts, kept, at, paths, up, low_ in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
+                gone = _below(paths, up, set(low_)) if low_ else ()
+                under = [bool(gone) and a >= 0 and gone[a] for a in at]
+                text = " ".join([t for t, k, u in zip(texts, kept, under) if k and not u])
+                found.append((text, len(text), len(texts), sum(under), sum(not k and not u for k, u in zip(kept, under))))
+            columns = list(zip(*found)) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_low", "n_named"])
+
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_low long, n_named long")

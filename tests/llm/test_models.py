@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from siltstone.llm import html_text, language_id, mixing, neighbours, queries, sentencepieces, token_files, toxicity
 
 from ..conftest import DATA
@@ -110,8 +111,6 @@ def test_mixing(docs):
 
 def test_mixing_prefers_weight(docs):
     rows = [(i, "word " * 10, "a" if i < 300 else "b") for i in range(600)]
-    from pyspark.sql import functions as F
-
     got = mixing.mix(docs(rows), quality=F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.1)).collect()
     more = [r.copies for r in got if r.doc_id >= 300 and r.doc_id % 2 == 0]
     less = [r.copies for r in got if r.doc_id >= 300 and r.doc_id % 2]
@@ -268,6 +267,45 @@ def test_site_style_tree(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_low_branches_far_up(spark):
+    rng = random.Random(4)
+    deep = "<div>" * 70 + "Terms of our house" + "</div>" * 70
+    rows = [(i, f"http://deep.example/{i}", f"<body><div class='q1'>{deep}</div><div class='q2'><p>{rng.random()}</p></div></body>") for i in range(8)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(re.fullmatch(r"0\.\d+(e-\d+)?", r.text) and (r.n_blocks, r.n_low, r.n_named) == (2, 1, 0) for r in got)
+
+
+def test_the_tree_changes_pages_that_no_list_names(spark):
+    """Boilerplate under class names that no list has: the rules keep all of it, the tree removes it from every page."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows, want = [], {}
+    for h in range(5):
+        top, end = f"<div class='k{h}a'><ul><li>{words(3)}<li>{words(2)}</ul></div>", f"<div class='k{h}z'><p>{words(9)}</p><span>{words(4)}</span></div>"
+        for i in range(30):
+            want[h * 100 + i] = words(40)
+            rows.append((h * 100 + i, f"https://h{h}.example/{i}", f"<html><body>{top}<div class='k{h}m'><p>{want[h * 100 + i]}</p></div>{end}</body></html>"))
+    assert not any(html_text.main_text(html_text.parse(h)) == want[i] for i, _, h in rows)
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_low >= 4 and r.n_named == 0 for r in got)
+
+
+def test_parser_takes_time_in_proportion(spark):
+    import time
+
+    for page in ("<b></i>" * 20_000, "<li><button>" + "<b>" * 5_000 + "<li></li>" * 5_000, "<div>" * 20_000 + "deep", "<p>" * 20_000, "<p>long text " * 50_000):
+        began = time.process_time()
+        html_text.main_text(html_text.parse(page))
+        assert time.process_time() - began < 10
+
+
+def test_pages_odd_rows(spark):
+    rows = [(1, None, None, "h", [1]), (None, "http://a.example/", "<p>x</p>", "h", [2]), (2, "http://a.example/", "", "h", [3]), (2, "http://a.example/", "", "h", [3]), (3, "::", "<p>a <span class='ad'>buy</span> b</p><p>" + "long " * 100_000, "h", [4])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, low array<int>").withColumn("row_id", F.lit(1)).withColumn("text", F.lit("t"))
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(df).collect())
+    assert got[:4] == [(0, "x", 1), (1, "", 0), (2, "", 0), (2, "", 0)] and got[4][1] == "a b " + "long " * 99_999 + "long"
+
+
 def test_same_article_on_a_host_stays(spark):
     rows = [(i, "http://h.example/a", f"<nav>{i}</nav><article><h1>T</h1><p>the same article everywhere</p></article>") for i in range(9)]
     assert {r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"T the same article everywhere"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import sys
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,37 @@ BROADCAST_BYTES = 48 << 20
 _libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
+#: Scratch tables of this process, which go when it ends.
+_scratch: dict[str, None] = {}
+
+
 def store(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back; this cuts the lineage."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back; this cuts the lineage. The table goes when the driver ends."""
+    return store_at(df, label, **options)[0]
+
+
+def store_at(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """As ``store``, with the table's place, for ``remove``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_remove_all)
+    _scratch[path] = None
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    _scratch.pop(path, None)
+    fs, place = pafs.FileSystem.from_uri(as_uri(path))
+    if fs.get_file_info(place).type != pafs.FileType.NotFound:
+        fs.delete_dir(place)
+
+
+def _remove_all() -> None:
+    for path in list(_scratch):
+        remove(path)
 
 
 def join_sized(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int = 64) -> DataFrame:
@@ -66,9 +93,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             _libc.malloc_trim(0)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ..., so that none can clash with an operator's own, whatever it is called."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def named(docs: DataFrame, name: str) -> Column:
+    """The column of ``numbered(docs)`` that ``docs`` calls ``name``."""
+    return F.col(f"c{docs.columns.index(name)}")
+
+
 def text_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names that no other column can clash with."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return numbered(docs).select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, text_col).cast("string").alias("text"))
 
 
 def node(doc_id: Column | str, text: Column | str) -> Column:

@@ -13,11 +13,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round takes the smallest label of a node and its neighbours, then follows the label's own label; the rounds
     needed grow with the logarithm of a component's diameter in practice. Labels are written to the shared folder
-    each round, and only a changed-row count reaches the driver. Self loops are ignored, an empty table gives an empty result.
+    each round, those of the round before go, and only whether a row changed reaches the driver. Self loops are ignored, an empty table gives an empty result.
     """
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = common.store(one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = common.store(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    labels, place = common.store_at(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
     if not labels.take(1):
         return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
     while True:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         step = labels.join(near, "u").select("u", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
         moved = step.join(up, "label", "left").select("u", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
-        moved = common.store(moved, "labels")
-        labels = moved.select("u", "label")
+        moved, new = common.store_at(moved, "labels")
+        common.remove(place)
+        labels, place = moved.select("u", "label"), new
         if not moved.filter("label <> was").take(1):
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))

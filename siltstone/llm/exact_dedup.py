@@ -83,18 +83,20 @@ def _by_bytes(rows: DataFrame, norm: Column, digest, clash: DataFrame) -> tuple[
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text one stays. Rows that only share an id, or have none, are told apart by their texts."""
+    """The rows of ``docs`` that stay, with all their columns, which may have any names; of rows equal in id and text one stays. Rows that only share an id, or have none, are told apart by their texts.
+
+    Null texts count as empty, and empty texts equal each other; texts of any length are compared whole; an empty table gives an empty result.
+    """
     groups = _grouped(docs, id_col, text_col).filter("group_size > 1")
     found = common.store(groups.groupBy("node").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "dropped")
     return drop_rows(docs, id_col, text_col, found.filter("not kept").select("node"), found.filter("kept and n > 1").select("node"))
 
 
 def drop_rows(docs: DataFrame, id_col: str, text_col: str, drop: DataFrame, again: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose node (see ``common.node``) is in ``drop``; of the rows with a node in ``again``, one stays."""
-    marked = docs.withColumn("_node", common.node(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-    kept = common.join_sized(marked, drop.withColumnRenamed("node", "_node"), "_node", "left_anti", 32)
+    """``docs`` without the rows whose node (see ``common.node``) is in ``drop``; of the rows with a node in ``again``, one stays. Columns may have any names and come back unchanged; an empty table stays empty."""
+    marked = common.numbered(docs).withColumn("node", common.node(common.named(docs, id_col).cast("long"), common.named(docs, text_col).cast("string")))
+    kept = common.join_sized(marked, drop, "node", "left_anti", 32)
     if again.take(1):
-        twice = again.withColumnRenamed("node", "_node")
-        once = common.join_sized(kept, twice, "_node", "left_semi", 32).dropDuplicates(["_node"])
-        kept = common.join_sized(kept, twice, "_node", "left_anti", 32).unionByName(once)
-    return kept.drop("_node")
+        once = common.join_sized(kept, again, "node", "left_semi", 32).dropDuplicates(["node"])
+        kept = common.join_sized(kept, again, "node", "left_anti", 32).unionByName(once)
+    return kept.drop("node").toDF(*docs.columns)

@@ -224,7 +224,7 @@ def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Each page read once: row_id, page_id, url, host; texts (of the blocks that the rules keep, else empty), kept and at (each block's style node); paths (of the style nodes, null for
     those that always stay), up, looks, contents; article (a hash of what the rules keep)."""
     common.ship(pages.sparkSession)
-    own = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    own = common.numbered(pages).select(F.monotonically_increasing_id().alias("row_id"), common.named(pages, id_col).cast("long").alias("page_id"), common.named(pages, url_col).cast("string").alias("url"), common.named(pages, html_col).cast("string").alias("html"))
     own = own.withColumn("host", host(F.col("url"))).select("row_id", "page_id", "url", "host", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

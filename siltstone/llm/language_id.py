@@ -70,9 +70,12 @@ def bundle(text: str | None) -> np.ndarray | None:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Profiles:
-    """Prototypes from about ``sample`` rows with text and language at most; prototypes are sums of whole numbers, so they don't depend on the order of rows."""
+    """Prototypes from about ``sample`` rows with text and language at most; prototypes are sums of whole numbers, so they don't depend on the order of rows.
+
+    Rows with a null language are not read, texts that are null or have no letter tell nothing, repeated rows are in the sample together; without rows no language is learned. Further columns are not read.
+    """
     common.ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
+    rows = common.numbered(docs).select(common.named(docs, id_col).alias("doc_id"), common.named(docs, lang_col).cast("string").alias("lang"), common.named(docs, text_col).cast("string").alias("text")).filter("lang is not null")
     share = min(1.0, sample / max(1, rows.select("lang").count()))
     rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
 

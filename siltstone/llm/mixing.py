@@ -36,6 +36,24 @@ def exponential_key(weight: Column, seed: int, *ids: Column) -> Column:
     return -F.log(u) / weight
 
 
+def source_key(source: Column) -> Column:
+    """A source as a key that sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("a"), source.cast("string")), F.lit("b"))
+
+
+def _weights(rows: DataFrame) -> DataFrame:
+    """(mix_key, weights): of each source the weights of its rows, to the next quarter of a power of two, with their shares; some dozens of weights at most."""
+    step = F.round(F.log2(F.greatest(F.least("weight", F.lit(2.0**40)), F.lit(2.0**-40))) * 4).cast("int")
+    counts = rows.groupBy("mix_key", step.alias("step")).agg(F.count("*").alias("n"))
+    held = counts.groupBy("mix_key").agg(F.array_sort(F.collect_list(F.struct(F.pow(F.lit(2.0), F.col("step") / 4).alias("w"), F.col("n").cast("double").alias("n")))).alias("w"), F.sum("n").alias("all"))
+    return held.select("mix_key", F.transform("w", lambda x: F.struct(x["w"].alias("w"), (x["n"] / F.col("all")).alias("share"))).alias("weights"))
+
+
+def _share_before(key: Column, weights: Column) -> Column:
+    """The expected share of a source's rows with a smaller key: it grows with the key, so buckets by it follow the keys and are about equal whatever the weights."""
+    return F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["share"] * (1 - F.exp(-key * x["w"])))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """(mix_key, source_size, target) from (mix_key, source_size): weighted shares of the whole, filled up to ``most`` times a size.
 
@@ -60,17 +78,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sources rank by code point, a null source last as one of its own. A null or empty text has size 0 and is taken with 0 words. Equal keys rank by doc_id, then size; repeated rows are documents of their own. The keys are a hash of seed, doc_id and text, so reruns agree. An empty table gives an empty result; further columns are not read.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b")).alias("mix_key"),
-        word_count(text).alias("size"),
-        (letter_share(text) if quality is None else quality).alias("weight"),
-        F.xxhash64(text).alias("text_hash"),
+    own, text = (docs if quality is None else docs.withColumn("quality weight", quality)), F.col("text")
+    rows = common.numbered(own).select(
+        common.named(docs, id_col).cast("long").alias("doc_id"),
+        source_key(common.named(docs, source_col)).alias("mix_key"),
+        common.named(docs, text_col).cast("string").alias("text"),
+        (F.lit(None).cast("double") if quality is None else F.col(f"c{len(docs.columns)}")).alias("given"),
     )
-    rows = common.store(rows.withColumn("key", exponential_key(F.col("weight"), seed, F.col("doc_id"), F.col("text_hash"))).drop("weight"), "sizes")
+    rows = rows.select("doc_id", "mix_key", word_count(text).alias("size"), (letter_share(text) if quality is None else F.col("given")).alias("weight"), F.xxhash64(text).alias("text_hash"))
+    rows = common.store(rows.withColumn("key", exponential_key(F.col("weight"), seed, F.col("doc_id"), F.col("text_hash"))), "sizes")
     n = max(256, rows.count() // 200_000)
-    rows = rows.withColumn("part", F.least(F.floor((1 - F.exp(-F.col("key"))) * n), F.lit(n - 1)).cast("int"))
+    rows = common.join_sized(rows, _weights(rows), "mix_key", "inner", 1024).withColumn("part", F.least(F.floor(_share_before(F.col("key"), F.col("weights")) * n), F.lit(n - 1)).cast("int")).drop("weights", "weight")
     source = targets(rows.groupBy("mix_key").agg(F.sum("size").alias("source_size")))
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     source = common.store(source.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
@@ -90,15 +108,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     more = more.select("mix_key", F.col("x.part").alias("part"), F.col("x.pos").alias("pos"), F.lit(True).alias("last"))
     ended = common.join_sized(placed, more, ["mix_key", "part", "pos"], "left", 128)
     copies = F.col("epochs") + F.when(F.col("picked") | F.coalesce("last", F.lit(False)), 1).otherwise(0)
-    return ended.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "text_hash")
+    return ended.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "text_hash", "mix_key")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns; documents without a word go."""
+    """The rows of ``docs`` as often as the mix takes them, with all their columns, which may have any names; documents without a word (null, empty) go.
+
+    Rows equal in id, text and source are alike to the mix: its copies of them are dealt to them in turn. An empty table gives an empty result.
+    """
     found = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
-    plan = common.store(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")), "plan")
-    keyed = docs.withColumn("_key", F.col(id_col).cast("long")).withColumn("_text", F.xxhash64(F.col(text_col).cast("string")))
-    taken = keyed.join(plan, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    if plan.filter("_rows > 1").take(1):
-        taken = taken.filter("_rows = 1").unionByName(taken.filter("_rows > 1").dropDuplicates(["_key", "_text", source_col]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = found.groupBy("doc_id", "text_hash", "mix_key").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    plan = common.store(plan.select(F.col("doc_id").alias("plan_id"), F.col("text_hash").alias("plan_hash"), F.col("mix_key").alias("plan_key"), "copies", "rows"), "plan")
+    own = common.numbered(docs)
+    plain = own.columns
+    keyed = own.withColumn("id", common.named(docs, id_col).cast("long")).withColumn("hash", F.xxhash64(common.named(docs, text_col).cast("string"))).withColumn("key", source_key(common.named(docs, source_col)))
+    taken = keyed.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("hash") == F.col("plan_hash")) & (F.col("key") == F.col("plan_key")))
+    if plan.filter("rows > 1").take(1):
+        # A row equal to others gets its share of their copies, whichever it is.
+        told = F.xxhash64(*[f"c{i}" for i, f in enumerate(docs.schema.fields) if not f.dataType.simpleString().startswith(("map", "variant"))])
+        ranked = taken.filter("rows > 1").withColumn("row", F.row_number().over(Window.partitionBy("id", "hash", "key").orderBy(told)) - 1)
+        ranked = ranked.withColumn("copies", (F.floor(F.col("copies") / F.col("rows")) + (F.col("row") < F.col("copies") % F.col("rows")).cast("int")).cast("int"))
+        taken = taken.filter("rows = 1").select(*plain, "copies").unionByName(ranked.select(*plain, "copies"))
+    return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*plain).toDF(*docs.columns)

@@ -89,8 +89,8 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector as doubles) of the rows that take part: vectors that are not null, empty or zero, of finite components."""
-    v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).filter("vec_id is not null and vector is not null and size(vector) > 0")
+    v = common.named(vectors, vector_col).cast("array<double>")
+    rows = common.numbered(vectors).select(common.named(vectors, id_col).cast("long").alias("vec_id"), v.alias("vector")).filter("vec_id is not null and vector is not null and size(vector) > 0")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(finite & F.exists("vector", lambda x: x != 0))
 

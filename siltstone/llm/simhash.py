@@ -243,7 +243,8 @@ def _near(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: in
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id by links of either kind: fingerprints within ``threshold`` bits, or shingle sets of Jaccard ``similarity`` or more.
 
-    Repeated rows stay; a null doc_id names a component only if all its members' ids are null.
+    Repeated rows stay; a null doc_id names a component only if all its members' ids are null. Texts without a word (null, empty) are one component, texts of any length are read whole, an
+    empty table gives an empty result, and further columns are not read.
     """
     return _near(docs, id_col, text_col, width, threshold, similarity).select("doc_id", "component_id")
 
@@ -251,7 +252,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component (see ``near_components``), with all their columns; of rows equal in id and text one stays.
 
-    Rows that only share an id, or have none, are told apart by their texts: of a component they stay for one text.
+    Rows that only share an id, or have none, are told apart by their texts: of a component they stay for one text. Columns may have any names; texts without a word (null, empty) are one
+    component; an empty table gives an empty result.
     """
     found = common.store(_near(docs, id_col, text_col, width, threshold, similarity).groupBy("node", "keep").count(), "components")
     return drop_rows(docs, id_col, text_col, found.filter("node <> keep").select("node"), found.filter("node = keep and count > 1").select("node"))

@@ -303,7 +303,10 @@ _TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
 
 
 def read_ids(manifest: DataFrame, path: str, values: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with ``values`` the ids, from the files of a manifest."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with ``values`` the ids, from the files of a manifest.
+
+    One row a row written, null ids and repeated rows included; a manifest without files gives an empty result.
+    """
     common.ship(manifest.sparkSession)
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("begin", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("long"))

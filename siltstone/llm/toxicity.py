@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows of both kinds every severity is about 0.
     """
     common.ship(docs.sparkSession)
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
+    marked = common.numbered(labels).select(common.named(labels, id_col).cast("long").alias("doc_id"), common.named(labels, label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     share = min(1.0, sample / max(1, marked.count()))
     picked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = common.join_sized(common.text_id(docs, id_col, text_col).filter("text is not null"), picked, "doc_id", "inner", 32)
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def severity(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """``docs`` with severity (0 to the highest grade), grade (the thresholds passed with probability over a half) and toxic (grade above 0).
+    """``docs`` with severity (0 to the highest grade), grade (the thresholds passed with probability over a half) and toxic (grade above 0), in place of columns of these names.
 
     A null or empty text has no feature and gets the severity of the thresholds alone.
     """
@@ -181,8 +181,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns, which may have any names."""
+    """The rows of ``docs`` that are not toxic, with all their columns, which may have any names.
+
+    Null and empty texts are not toxic; texts of any length are read whole; repeated rows stay or go together; an empty table gives an empty result.
+    """
     model = fit(docs, labels, id_col, text_col, **options)
-    plain = [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.toDF(*plain).withColumn("text", F.col(plain[docs.columns.index(text_col)]).cast("string"))
-    return severity(own, model).filter("not toxic").select(*plain).toDF(*docs.columns)
+    own = common.numbered(docs)
+    plain = own.columns
+    return severity(own.withColumn("text", common.named(docs, text_col).cast("string")), model).filter("not toxic").select(*plain).toDF(*docs.columns)

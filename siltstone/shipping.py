@@ -15,12 +15,14 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if all run on this machine, else an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {sc.master})")
         base = tempfile.mkdtemp(prefix="siltstone-shared-")
         sc.setCheckpointDir(base)
     return base

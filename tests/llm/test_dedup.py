@@ -262,6 +262,20 @@ def test_substring_full_filter(docs, monkeypatch):
     assert removed(substring_dedup.remove_repeats(docs(rows))) == repeats(rows)
 
 
+def test_substring_common_anchors(docs, monkeypatch):
+    """A line and a passage that most documents share, each time in other surroundings: common anchors are set aside."""
+    monkeypatch.setattr(substring_dedup, "COMMON", 20)
+    rng = random.Random(15)
+    line, passage = sentence(rng, 8), sentence(rng, 30)
+    rows = []
+    for i in range(240):
+        # Few words around the line, so that windows across its edges repeat as well.
+        near = [f"v{rng.randrange(3)}" for _ in range(8)]
+        rows.append((i, " ".join(sentence(rng, 12) + near[:4] + line + near[4:] + sentence(rng, 5) + (passage if i % 3 else passage[4:25]) + sentence(rng, 3))))
+    rows += [(rows[7][0], rows[9][1]), (None, rows[3][1])]
+    assert removed(substring_dedup.remove_repeats(docs(rows))) == repeats(rows)
+
+
 def test_substring_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     want = {i: (n, g, hashlib.sha256(t.encode()).hexdigest()) for i, n, g, t in repeats(rows)}

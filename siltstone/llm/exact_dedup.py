@@ -53,15 +53,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, digest=sha256) -> Data
     index = common.store(_compact(runs), "index", **_RUN)
     hits = index.filter("group_size > 1")
 
-    texts = rows.select(norm.alias("norm")).select("norm", digest(F.col("norm")).alias("digest"))
-    same = common.join_sized(texts, hits.select("digest"), "digest", "inner", 100)
+    # Only the texts of hits are read again: their rows are found by node, and a node that two digests share only has more texts compared.
+    suspects = common.store(common.join_sized(runs.select("node", "digest"), hits.select("digest"), "digest", "left_semi", 100).distinct(), "suspects")
+    texts = common.join_sized(rows.withColumn("node", common.node("doc_id", "text")), suspects, "node", "inner", 120)
+    same = texts.select("digest", norm.alias("norm"))
     clash = same.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("digest")
     clash = common.store(clash, "clash")
     if clash.take(1):
         runs, index = _by_bytes(rows, norm, digest, clash)
         hits = index.filter("group_size > 1")
 
-    found = runs.join(hits, "digest", "left")
+    found = common.join_sized(runs, hits, "digest", "left", 160)
     alone = F.col("group_size").isNull()
     return found.select(
         "doc_id",

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one full-dimensional codeword from each codebook, found by beam search; codebooks start from k-means of residuals and are then fitted to the beam's codes by least squares, one after another. The
-norm of each code's sum is stored beside it, so the squared distance to a query is |q|^2 - 2 (sum of the query's inner products with the codewords, from a lookup table) + norm. Every vector is coded and scored
-against every query; the best by that score are ranked again by exact distance.
+norm of each code's sum is stored beside it, so the squared distance to a query is |q|^2 - 2 (sum of the query's inner products with the codewords, from a lookup table) + norm. Every vector is coded, and scored
+against every query in blocks; the best by that score are ranked again by exact distance. Their number grows with the table, so that recall doesn't fall as it grows; with all of them (``rerank``) the search is exact.
 """
 
 from __future__ import annotations
@@ -17,19 +17,27 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Codebooks, codewords in each, beam width, vectors that a fit reads, and candidates for each query that are ranked exactly.
-BOOKS, WORDS, BEAM, SAMPLE, RERANK = 16, 256, 8, 20_000, 500
-#: Queries scored together, and the bytes of query vectors broadcast at once.
-QUERY_BLOCK, BROADCAST_BYTES = 256, 32 << 20
+#: Codebooks, codewords in each, beam width, vectors that a fit reads, and candidates for each query that are ranked exactly: so many, or this share of all vectors if that is more.
+BOOKS, WORDS, BEAM, SAMPLE, RERANK, RERANK_SHARE = 16, 256, 8, 20_000, 500, 0.01
+#: Queries and vectors of a block.
+QUERY_BLOCK, CODE_BLOCK = 256, 8192
+
+
+def _sums(x: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum and the number of the rows of each word."""
+    order = np.argsort(word, kind="stable")
+    counts = np.bincount(word, minlength=words)
+    held = np.flatnonzero(counts)
+    total = np.zeros((words, x.shape[1]))
+    total[held] = np.add.reduceat(x[order], (np.cumsum(counts) - counts)[held])
+    return total, counts
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
         near = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
-        counts = np.bincount(near, minlength=k)
-        total = np.zeros_like(centres)
-        np.add.at(total, near, x)
+        total, counts = _sums(x, near, k)
         centres[counts > 0] = total[counts > 0] / counts[counts > 0, None]
         empty = np.flatnonzero(counts == 0)
         centres[empty] = x[rng.choice(len(x), len(empty))]
@@ -79,9 +87,7 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2
             for m in range(books):
                 word = codes[:, m]
                 rest += out[m][word]
-                counts = np.bincount(word, minlength=words)
-                total = np.zeros_like(out[m])
-                np.add.at(total, word, rest)
+                total, counts = _sums(rest, word, words)
                 out[m][counts > 0] = total[counts > 0] / counts[counts > 0, None]
                 rest -= out[m][word]
     return out
@@ -129,26 +135,28 @@ def _search(rows: DataFrame, every: int, k: int, rerank: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(books)
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     queries = common.store(queries, "queries")
+    rerank = max(rerank, int(np.ceil(RERANK_SHARE * n)))
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = _matrix(frame.vector)
-            if len(x):
+            for a in range(0, len(frame), CODE_BLOCK):
+                part = frame.iloc[a : a + CODE_BLOCK].sort_values("vec_id", kind="stable")
+                x = _matrix(part.vector)
                 codes = encode(x, shared.value)
-                yield pd.DataFrame({"ids": [frame.vec_id.to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [(decode(codes, shared.value) ** 2).sum(1).tobytes()]})
+                yield pd.DataFrame({"ids": [part.vec_id.to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [(decode(codes, shared.value) ** 2).sum(1).tobytes()]})
 
     coded = common.store(rows.mapInPandas(code, "ids binary, codes binary, norms binary"), "codes")
-    # Queries are broadcast in groups of bounded size; each group is scored against all codes in blocks.
-    width = books.shape[2] * 8 + 8
-    groups = max(1, -(-queries.count() * width // BROADCAST_BYTES))
-    near = None
-    for g in range(groups):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).orderBy("vec_id").toPandas()
-        part = _scored(coded, own, shared, rerank) if len(own) else None
-        if part is not None:
-            near = part if near is None else near.unionAll(part)
-    if near is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # The stated queries meet all vectors in blocks: each block of codes goes with every group of queries.
+    groups = max(1, -(-queries.count() // QUERY_BLOCK))
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("vec_id")
+        return pd.DataFrame({"group": [int(own.group.iloc[0])], "names": [own.vec_id.to_numpy(np.int64).tobytes()], "asked": [_matrix(own.vector).tobytes()]})
+
+    dealt = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    asked = common.store(dealt.groupBy("group").applyInPandas(gather, "group int, names binary, asked binary"), "asked")
+    met = common.join_sized(coded.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), asked, "group", "inner", 2 * QUERY_BLOCK * (books.shape[2] + 1) * 8)
+    near = met.select("ids", "codes", "norms", "names", "asked").mapInArrow(_scorer(shared, rerank), "query_id long, vec_id long, approx double")
     best = Window.partitionBy("query_id").orderBy("approx", "vec_id")
     near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= rerank).select("query_id", "vec_id").distinct()
     near = common.store(near, "near")
@@ -159,38 +167,30 @@ def _search(rows: DataFrame, every: int, k: int, rerank: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _scored(coded: DataFrame, own: pd.DataFrame, books, rerank: int) -> DataFrame:
-    """The ``rerank`` candidates of the best table score in each block of codes, for each query of a group."""
-    sent = coded.sparkSession.sparkContext.broadcast((own.vec_id.to_numpy(np.int64), _matrix(own.vector)))
+def _scorer(books, rerank: int):
+    """For each block of codes and group of queries, the ``rerank`` candidates of the best table score of each query."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = sent.value
         tables = books.value
-        ids, codes, norms = [], [], []
-        for batch in batches:
-            ids += [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
-            codes += [np.frombuffer(x, np.uint8).reshape(-1, len(tables)) for x in batch.column(1).to_pylist()]
-            norms += [np.frombuffer(x, np.float64) for x in batch.column(2).to_pylist()]
-        for a in range(0, len(ids), 16):
-            i, c, m = np.concatenate(ids[a : a + 16]), np.concatenate(codes[a : a + 16]), np.concatenate(norms[a : a + 16])
-            order = np.argsort(i, kind="stable")
-            i, c, m = i[order], c[order], m[order]
-            for b in range(0, len(names), QUERY_BLOCK):
-                lookup = np.einsum("qd,mwd->mqw", q[b : b + QUERY_BLOCK], tables)
-                rows: list[tuple] = []
-                for j, name in enumerate(names[b : b + QUERY_BLOCK].tolist()):
-                    approx = m.copy()
-                    for book in range(len(tables)):
-                        approx -= 2 * lookup[book, j][c[:, book]]
-                    approx[i == name] = np.inf
-                    if len(approx) > rerank:
-                        bound = np.partition(approx, rerank - 1)[rerank - 1]
-                        under, ties = np.flatnonzero(approx < bound), np.flatnonzero(approx == bound)
-                        best = np.r_[under, ties[: rerank - len(under)]]
-                    else:
-                        best = np.arange(len(approx))
-                    best = best[np.isfinite(approx[best])]
-                    rows.append((np.full(len(best), name), i[best], approx[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["query_id", "vec_id", "approx"])
-
-    return coded.mapInArrow(score, "query_id long, vec_id long, approx double")
+        for batch in common.slices(batches, 1):
+            ids, codes, norms, names, asked = (batch.column(i)[0].as_py() for i in range(5))
+            i, c, m = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, len(tables)), np.frombuffer(norms, np.float64)
+            names = np.frombuffer(names, np.int64)
+            lookup = np.einsum("qd,mwd->mqw", np.frombuffer(asked, np.float64).reshape(len(names), -1), tables, optimize=True)
+            rows: list[tuple] = []
+            for j, name in enumerate(names.tolist()):
+                approx = m.copy()
+                for book in range(len(tables)):
+                    approx -= 2 * lookup[book, j][c[:, book]]
+                approx[i == name] = np.inf
+                if len(approx) > rerank:
+                    bound = np.partition(approx, rerank - 1)[rerank - 1]
+                    under, ties = np.flatnonzero(approx < bound), np.flatnonzero(approx == bound)
+                    best = np.r_[under, ties[: rerank - len(under)]]
+                else:
+                    best = np.arange(len(approx))
+                best = best[np.isfinite(approx[best])]
+                rows.append((np.full(len(best), name), i[best], approx[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["query_id", "vec_id", "approx"])
+
+    return score

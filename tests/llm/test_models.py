@@ -337,6 +337,25 @@ def test_neighbours(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_neighbours_clustered_and_exact(spark):
+    """Dense groups of over a thousand close vectors; with all candidates the search is brute force."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 16))
+    x = np.concatenate([centres[i % 6] + rng.normal(size=16) * (1e-3 if i % 6 < 2 else 0.3) for i in range(9000)]).reshape(9000, 16)
+    x[5000:5020] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("query_id", F.lit(1)).withColumn("vector", F.lit(2))
+    for rerank, least in ((neighbours.RERANK, 0.9), (9000, 1.0)):
+        got: dict = {}
+        for r in neighbours.search(df, every=300, rerank=rerank).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        hits = []
+        for q in range(0, 9000, 300):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            hits.append(len(set(np.lexsort((np.arange(9000), d))[:10].tolist()) & {v for _, v in got[q]}) / 10)
+        assert len(got) == 30 and np.mean(hits) >= least
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [3.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, []), (100, [3.0, 2.0]), (None, [1.0, 1.0]), (200, [1.0]), (201, [2.0])]

@@ -122,6 +122,8 @@ def _pak_encoded(f: Reader) -> dict[str, int]:
     offset = f.number("<I" if word >> 31 & 1 else "<Q")
     raw = f.number("<I" if word >> 30 & 1 else "<Q")
     size = f.number("<I" if word >> 29 & 1 else "<Q") if method else raw
+    need(blocks > 0 or not method, "compressed entry without blocks")
+    need(not blocks or method > 0, "stored entry with blocks")
     if blocks and (encrypted or blocks != 1):
         f.read(4 * blocks)
     return {"offset": offset, "size": size, "raw": raw, "method": method, "blocks": blocks, "block_size": block_size, "encrypted": encrypted}
@@ -145,6 +147,7 @@ def _pak_directory(f: Reader, methods: list[bytes], end: int) -> Iterator[Record
         listed.append({"offset": offset, "size": size, "raw": raw, "method": method, "blocks": blocks})
     if directory is None:
         return
+    work = 0
     for _ in range(directory.number("<I")):
         folder = _fstring(directory)
         for _ in range(directory.number("<I")):
@@ -154,8 +157,11 @@ def _pak_directory(f: Reader, methods: list[bytes], end: int) -> Iterator[Record
                 continue
             need(at < len(packed) and -at - 1 < len(listed), "entry outside of the index")
             entry = _pak_encoded(Reader(packed, len(packed)).seek(at)) if at >= 0 else listed[-at - 1]
+            work += 1
+            need(work <= 2_000_000, "too many names")
             m = entry["method"]
             yield "UNREAL_ENTRY", name, entry, {"mount": mount, "method_name": methods[m - 1].decode() if 0 < m <= len(methods) else ""}
+    need(directory.at == directory.length, "unknown trailer of the directory index")
 
 
 def utoc(f: Reader) -> Iterator[Record]:

@@ -33,12 +33,9 @@ def display_unescape(x: Column) -> Column:
 
 def byte_escape(x: Column) -> Column:
     """Bytes as printable ASCII: others, percent, pipe and backslash as %HH."""
-
-    @F.pandas_udf(StringType())
-    def escape(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: None if b is None else "".join(chr(c) if 32 <= c <= 126 and c not in b"%|\\" else f"%{c:02X}" for c in bytes(b)))
-
-    return escape(x)
+    each = F.filter(F.split(F.regexp_replace(F.hex(x), "(..)", "$1 "), " "), lambda h: h != "")
+    plain = lambda h: h.between("20", "7E") & ~h.isin("25", "7C", "5C")
+    return F.when(x.isNotNull(), F.array_join(F.transform(each, lambda h: F.when(plain(h), F.unhex(h).cast("string")).otherwise(F.concat(F.lit("%"), h))), ""))
 
 
 def json_quote(x: Column) -> Column:
@@ -122,11 +119,11 @@ def mount_class(options: Column) -> Column:
 
 
 def bytes_human(n: Column) -> Column:
-    """Bytes as text: whole below 1024, else one decimal with K to E; a sign in front."""
+    """Bytes as text: whole below 1024, else one decimal with K to E, halves to even; a sign in front."""
     size = F.abs(n).cast("double")
     text = F.concat(F.abs(n).cast("string"), F.lit("B"))
     for i, unit in enumerate("KMGTPE", 1):
-        text = F.when(size >= float(1024**i), F.concat(F.format_string("%.1f", size / float(1024**i)), F.lit(unit))).otherwise(text)
+        text = F.when(size >= float(1024**i), F.concat(F.format_string("%.1f", F.bround(size / float(1024**i), 1)), F.lit(unit))).otherwise(text)
     return F.concat(F.when(n < 0, "-").otherwise(""), text)
 
 
@@ -138,7 +135,7 @@ def bytes_label_truncated(n: Column) -> Column:
 
 
 def mib_human(n: Column) -> Column:
-    return F.when(n >= 1048576, F.format_string("%.2f TiB", n / 1048576.0)).when(n >= 1024, F.format_string("%.2f GiB", n / 1024.0)).otherwise(F.format_string("%d MiB", n.cast("long")))
+    return F.when(n >= 1048576, F.format_string("%.2f TiB", F.bround(n / 1048576.0, 2))).when(n >= 1024, F.format_string("%.2f GiB", F.bround(n / 1024.0, 2))).otherwise(F.format_string("%d MiB", n.cast("long")))
 
 
 def to_mib(x: Column) -> Column:
@@ -176,18 +173,37 @@ def offset_seconds(x: Column) -> Column:
     return F.when(F.startswith(x, F.lit("-")), -total).otherwise(total)
 
 
-# Names of languages and their codes.
+# The codes of languages and the names that stand for each.
 LANGUAGES = {
-    "en": "en eng english", "fr": "fr fre fra french", "de": "de ger deu german", "es": "es spa spanish", "it": "it ita italian", "pt": "pt por portuguese", "ja": "ja jp jpn japanese",
-    "ko": "ko kor korean", "zh": "zh chi zho chinese", "ru": "ru rus russian", "pl": "pl pol polish", "tr": "tr tur turkish", "nl": "nl dut nld dutch", "sv": "sv swe swedish", "cs": "cs cze ces czech",
+    "en": "en eng english", "fr": "fr fra fre french", "de": "de deu ger german", "es": "es spa spanish", "it": "it ita italian", "pt": "pt por portuguese", "ru": "ru rus russian",
+    "pl": "pl pol polish", "ja": "ja jpn japanese", "ko": "ko kor korean", "zh": "zh chi zho chinese chinesesimplified chinesetraditional", "tr": "tr tur turkish", "nl": "nl dut nld dutch",
+    "sv": "sv swe swedish", "fi": "fi fin finnish", "da": "da dan danish", "no": "no nor norwegian", "cs": "cs cze ces czech", "hu": "hu hun hungarian", "el": "el gre ell greek",
+    "ar": "ar ara arabic", "he": "he heb hebrew", "th": "th tha thai", "vi": "vi vie vietnamese", "uk": "uk ukr ukrainian", "id": "id ind indonesian", "ro": "ro ron rum romanian",
+    "bg": "bg bul bulgarian", "hr": "hr hrv croatian", "sk": "sk slk slo slovak",
 }
 
 
+def _language(word: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for code, names in LANGUAGES.items() for n in names.split() for x in (n, code)]), word)
+
+
 def language_of(name: Column) -> Column:
-    """The code of the first word of a name that is a language's."""
-    table = F.create_map(*[F.lit(x) for code, names in LANGUAGES.items() for n in names.split() for x in (n, code)])
-    found = F.filter(F.transform(F.split(F.lower(name), r"[_\-. ]+"), lambda t: F.try_element_at(table, t)), lambda c: c.isNotNull())
-    return F.try_element_at(found, F.lit(1))
+    """The code of a name's first word if that is a language's, such as fr_FR, English(US) or es-419; null for any other name."""
+    return _language(F.try_element_at(F.filter(F.split(F.lower(name), r"[()_\-. ]+"), lambda t: t != ""), F.lit(1)))
+
+
+def language_in(stem: Column) -> Column:
+    """The code of the first word of a file's stem that is a language's, where there are other words; null otherwise."""
+    words = F.filter(F.split(F.lower(stem), r"[_\-. ]+"), lambda t: t != "")
+    found = F.filter(F.transform(words, _language), lambda c: c.isNotNull())
+    return F.when(F.size(words) > 1, F.try_element_at(found, F.lit(1)))
+
+
+def language_base(stem: Column) -> Column:
+    """The words of a file's stem but for the first one that is a language's."""
+    words = F.filter(F.split(stem, r"[_\-. ]+"), lambda t: t != "")
+    at = F.array_position(F.transform(words, lambda t: _language(F.lower(t)).isNotNull()), True)
+    return F.array_join(F.filter(words, lambda _, i: i + 1 != at), "_")
 
 
 def platform(id_: Column, like: Column, variant: Column) -> Column:

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 def text_blocks(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """Whole blocks of ``size`` characters of a text: (key, block offset, block); a shorter rest is no block."""
-    whole = F.floor(F.char_length(text) / size).cast("int")
-    at = F.explode(F.sequence(F.lit(0), whole - 1))
-    cut = df.filter(whole > 0).select(key, text, at.alias("block"))
-    return cut.select(key, (F.col("block") * size).cast("long").alias("offset"), F.substring(F.col(text), F.col("block") * size + 1, F.lit(size)).alias("content"))
+    # The text is cut once, in time in proportion to its length, and not carried into each block's row.
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{{size}}}"), F.lit(0))
+    return df.select(key, F.posexplode(blocks).alias("block", "content")).select(key, (F.col("block") * size).cast("long").alias("offset"), "content")
 
 
 def duplicate_candidates(blocks: DataFrame, group: list[str], file: str, offset: str) -> DataFrame:
@@ -36,12 +35,15 @@ def copies(df: DataFrame, key: str, group: list[Column], names: list[str]) -> Da
 
 
 def set_equality(df: DataFrame, parent: str, member: str) -> DataFrame:
-    """(members, parents, n): sets of members that two or more parents share exactly.
+    """(members, n, least_parent): sets of members that two or more parents share exactly. A parent's members are one array.
 
-    Parents are grouped by a digest of their sorted members beside their number, so sets, not members, are shuffled.
+    Parents are first grouped by two hashes of their sorted members and their number; only those of groups of two or more are then told apart by the members themselves.
     """
     sets = df.groupBy(parent).agg(F.array_sort(F.collect_set(member)).alias("members"))
-    return sets.groupBy("members").agg(F.count("*").alias("n"), F.min(parent).alias("least_parent")).filter("n > 1")
+    sets = sets.select(parent, "members", F.xxhash64("members").alias("_h"), F.hash("members").alias("_g"), F.size("members").alias("_n"))
+    several = sets.groupBy("_h", "_g", "_n").agg(F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    alike = sets.join(several, ["_h", "_g", "_n"], "left_semi")
+    return alike.groupBy("members").agg(F.count("*").alias("n"), F.min(parent).alias("least_parent")).filter("n > 1")
 
 
 def reclaim(df: DataFrame, group: list[str], size: str) -> DataFrame:

@@ -78,9 +78,7 @@ def variant_groups(dirs: DataFrame, parent: str, name: str, members: str, size:
 
     The limit comes before the filter. ``members`` is the sorted array of names.
     """
-    tokens = F.split(F.lower(F.col(name)), r"[^0-9a-z]+")
-    variant = F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in VARIANT_TOKENS])) | F.lower(F.col(name)).rlike(r"^\d{3,4}p$|^\dk$")
-    group = dirs.withColumn("variant", variant).groupBy(parent, members).agg(
+    group = dirs.withColumn("variant", is_variant(F.col(name))).groupBy(parent, members).agg(
         F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("neg"), F.col(name).alias("path"), F.col("variant").alias("variant")))).alias("m"),
         F.count("*").alias("n"), (F.sum(size) - F.max(size)).alias("reclaim"), F.min(size).alias("least"), F.max(size).alias("most"), F.bool_or("variant").alias("any_variant"),
     )
@@ -89,8 +87,17 @@ def variant_groups(dirs: DataFrame, parent: str, name: str, members: str, size:
     return kept.select(parent, F.transform("m", lambda x: F.struct((-x.neg).alias("bytes"), x.path.alias("path"), x.variant.alias("variant"))).alias("members"), "reclaim")
 
 
-# Words that make a directory's name a variant's.
-VARIANT_TOKENS = ("x86", "x64", "win32", "win64", "linux", "mac", "bc3", "bc7", "dxt", "astc", "etc2", "low", "medium", "high", "ultra", "hd", "sd", "english", "french", "german", "italian", "spanish", "japanese")
+# Names, or last words of names, that make a directory a variant: of quality, of language, of platform.
+VARIANT_TOKENS = (
+    "720p 1080p 1440p 2160p 4k 480p 360p lowres highres low medium high ultra bc1 bc3 bc5 bc7 etc1 etc2 astc dx11 dx12 vulkan opengl x86 x64 "
+    "en fr de es it pt ru pl ja ko zh tr nl sv fi da no cs hu el ar he th vi uk id ro bg hr sk "
+    "windows win win32 win64 mac macos osx linux linux64 ps4 ps5 playstation xbox xboxone xbsx switch nx android ios mobile pellegrino vita"
+).split()
+
+
+def is_variant(name: Column) -> Column:
+    """Whether a directory's name, or what is behind its last dot, dash or underscore, is a variant's."""
+    return F.lower(name).isin(*VARIANT_TOKENS) | F.element_at(F.split(F.lower(name), r"[.\-_]"), -1).isin(*VARIANT_TOKENS)
 
 
 def greedy_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:

@@ -30,7 +30,7 @@ def row_number(df: DataFrame, bucket: Column, order: list, out: str = "place", d
     keys = keys or []
     rows = df.withColumn("_bucket", bucket)
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    return _joined(rows.withColumn("_in", inside), keys, F.lit(1), descending).withColumn(out, (F.col("_ahead") + F.col("_in")).cast("int")).drop("_bucket", "_in", "_ahead")
+    return _joined(rows.withColumn("_in", inside), keys, F.lit(1), descending).withColumn(out, (F.col("_ahead") + F.col("_in")).cast("long")).drop("_bucket", "_in", "_ahead")
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list, amount: Column, out: str, inclusive: bool = False) -> DataFrame:

@@ -71,12 +71,17 @@ def ranked_categories(df: DataFrame, label: str, pct: str) -> DataFrame:
 def bundle_references(references: DataFrame, nodes: DataFrame) -> DataFrame:
     """References of textures (path, own, target, begin, length) within a bundle (path, name, size, kind), with one of six statuses.
 
-    An empty target is inline. Others must read ``archive:/OWN/name``; the rest of the name is a node of the same bundle of kind ``resource``. Bounds are checked, the data is not read.
+    An empty target is inline. ``archive:/OWN/name`` and a plain path name a node of the same bundle, of kind ``resource``, folders and all; another archive's name, and a path that is no safe
+    relative one, is unsupported. Bounds are checked, the data is not read.
     """
-    own, name = F.regexp_extract("target", r"^archive:/([^/]+)/([^/]+)$", 1), F.regexp_extract("target", r"^archive:/([^/]+)/([^/]+)$", 2)
+    from ..functions.text import safe_path
+
+    prefixed = F.startswith(F.col("target"), F.lit("archive:/"))
+    own = F.when(prefixed, F.regexp_extract("target", r"^archive:/([^/]*)/", 1)).otherwise(F.col("own"))
+    name = F.when(prefixed, F.regexp_extract("target", r"^archive:/[^/]*/(.*)$", 1)).otherwise(F.col("target"))
     joined = references.withColumn("name", name).join(nodes.select("path", "name", "size", "kind"), ["path", "name"], "left")
     status = (
-        F.when(F.col("target") == "", "INLINE").when((own == "") | (own != F.col("own")), "UNSUPPORTED_NAMESPACE").when(F.col("size").isNull(), "MISSING").when(F.col("kind") != "resource", "KIND_UNSUPPORTED")
+        F.when(F.col("target") == "", "INLINE").when((own != F.col("own")) | ~safe_path(F.col("name")), "UNSUPPORTED_NAMESPACE").when(F.col("size").isNull(), "MISSING").when(F.col("kind") != "resource", "KIND_UNSUPPORTED")
         .when(F.col("begin") + F.col("length") > F.col("size"), "OUT_OF_RANGE").otherwise("BOUNDS_ONLY")
     )
     return joined.withColumn("status", status)

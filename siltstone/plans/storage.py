@@ -170,23 +170,24 @@ def prune_plan(files: DataFrame, wanted: list[str], min_mib: int) -> DataFrame:
     return chosen.join(enough.select("game"), "game", "left_semi")
 
 
-def slim_plan(files: DataFrame, keep_language: str | None) -> DataFrame:
-    """(game, rel_path, rule): folders and files of languages other than ``keep_language`` where at least two languages of the same base are present and the kept one is among them.
+def slim_plan(files: DataFrame, keep_language: str | list[str] | None) -> DataFrame:
+    """(game, rel_path, rule): folders and files of languages other than ``keep_language`` (one or several) where at least two languages of the same base are present and a kept one is among them.
 
     Folders and files are judged by their name's language; platform variants are never removed. Without a kept language nothing is.
     """
+    keep = [keep_language] if isinstance(keep_language, str) else list(keep_language or [])
+    held = F.col("lang").isin(*keep) if keep else F.lit(False)
     parts = F.split("rel_path", "/")
     name = F.element_at(parts, -1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    word = F.split(stem, r"[_\-. ]+")
-    by_file = files.filter("kind = 'f'").select("game", F.col("rel_path").alias("target"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("parent"), T.language_of(stem).alias("lang"), F.concat_ws("_", F.filter(word, lambda w: T.language_of(w).isNull()), inventory.extension(F.col("rel_path"))).alias("base"), F.lit("file").alias("rule"))
+    by_file = files.filter("kind = 'f'").select("game", F.col("rel_path").alias("target"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("parent"), T.language_in(stem).alias("lang"), F.concat_ws(".", T.language_base(stem), inventory.extension(F.col("rel_path"))).alias("base"), F.lit("file").alias("rule"))
     folders = files.filter("kind = 'f' and rel_path like '%/%'").select("game", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("target")).distinct()
     cut = F.split("target", "/")
     by_folder = folders.select("game", "target", F.array_join(F.slice(cut, 1, F.size(cut) - 1), "/").alias("parent"), T.language_of(F.element_at(cut, -1)).alias("lang"), F.lit("").alias("base"), F.lit("folder").alias("rule"))
     named = by_file.unionByName(by_folder).filter("lang is not null")
-    suite = named.groupBy("game", "parent", "base", "rule").agg(F.count_distinct("lang").alias("n"), F.bool_or(F.col("lang") == F.lit(keep_language)).alias("kept"))
+    suite = named.groupBy("game", "parent", "base", "rule").agg(F.count_distinct("lang").alias("n"), F.bool_or(held).alias("kept"))
     removable = suite.filter((F.col("n") >= 2) & F.coalesce(F.col("kept"), F.lit(False))).select("game", "parent", "base", "rule")
-    return named.filter(F.col("lang") != F.lit(keep_language)).join(removable, ["game", "parent", "base", "rule"], "left_semi").select("game", F.col("target").alias("rel_path"), "rule").distinct()
+    return named.filter(~held).join(removable, ["game", "parent", "base", "rule"], "left_semi").select("game", F.col("target").alias("rel_path"), "rule").distinct()
 
 
 def opportunities(planner: DataFrame, packs: DataFrame) -> DataFrame:

@@ -12,16 +12,17 @@ RATIOS_SCHEMA = "schema int, games map<string, map<string, struct<pct: double, s
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a small text file; numbers follow the file's order."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    """(file, line_no, value) of small text files; numbers follow each file's order."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
 def libraries(text: DataFrame) -> DataFrame:
-    """(seq, path): the token after each key ``path`` in quoted key-value text; keys may stand on an earlier line."""
-    raw = text.select("line_no", F.posexplode(F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))).alias("at", "token"))
-    order = Window.orderBy("line_no", "at")
+    """(seq, path), with ``file`` where the text has one: the token after each key ``path`` in quoted key-value text; keys may stand on an earlier line of the same file."""
+    by = [c for c in ("file",) if c in text.columns]
+    raw = text.select(*by, "line_no", F.posexplode(F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))).alias("at", "token"))
+    order = Window.partitionBy(*by).orderBy("line_no", "at")
     marked = raw.withColumn("before", F.lag("token").over(order)).withColumn("seq", F.row_number().over(order))
-    return marked.filter("before = 'path'").select("seq", F.regexp_replace("token", r"\\(.)", "$1").alias("path"))
+    return marked.filter("before = 'path'").select(*by, "seq", F.regexp_replace("token", r"\\(.)", "$1").alias("path"))
 
 
 def compression_state(text: DataFrame) -> DataFrame:
@@ -54,10 +55,10 @@ def dedupe_completions(text: DataFrame) -> DataFrame:
 
 def dedupe_history(text: DataFrame) -> DataFrame:
     """Measurements around dedupe runs; lines of too few or other fields than numbers are skipped."""
-    f = F.split("value", r"\|")
+    at = lambda i: F.get(F.split("value", r"\|"), F.lit(i))
     names = ["before_disk", "before_raw", "before_ref", "after_disk", "after_raw", "after_ref"]
     good = text.filter(F.col("value").rlike(r"^[0-9]+\|[^|]+(\|[0-9]+){6}\|-?[0-9]+(\||$)"))
-    return good.select("line_no", f[0].cast("long").alias("ts"), T.percent_decode(f[1]).alias("path"), *[f[2 + i].cast("long").alias(n) for i, n in enumerate(names)], f[8].cast("long").alias("saved"))
+    return good.select("line_no", at(0).try_cast("long").alias("ts"), T.percent_decode(at(1)).alias("path"), *[at(2 + i).try_cast("long").alias(n) for i, n in enumerate(names)], at(8).try_cast("long").alias("saved"))
 
 
 def ratios(document: DataFrame, column: str = "value") -> DataFrame:
@@ -77,12 +78,18 @@ def ratios_document(rows: DataFrame) -> DataFrame:
     return held.select(F.to_json(F.struct(F.lit(1).alias("schema"), ordered.alias("games"))).alias("value"))
 
 
-def records(text: DataFrame, tag: str, fields: int, key: str = "game") -> DataFrame:
-    """A recorded stream by key: exactly one line of ``tag`` with ``fields`` fields whose numbers are numbers is ``ok``, all else is ``error``, and errors stay as rows."""
+def records(text: DataFrame, tag: str, fields: int, key: str = "game", texts: int = 0, before: int | None = None) -> DataFrame:
+    """A recorded stream by key: exactly one line of ``tag`` with ``fields`` fields is ``ok`` if all but the ``texts`` first behind the tag are whole decimal numbers; all else is ``error``, and errors stay as rows.
+
+    With ``before`` (the place of the bytes before; a count is ahead of it, the bytes after behind it) totals must agree: nothing grows, and without candidates nothing changes.
+    """
     f = F.split("value", r"\|")
     mine = F.when(f[0] == tag, f)
     seen = text.groupBy(key).agg(F.count(mine).alias("n"), F.max(mine).alias("f"))
-    good = (F.col("n") == 1) & (F.size("f") == fields) & F.forall(F.slice("f", 2, fields - 1), lambda x: x != "")
+    good = (F.col("n") == 1) & (F.size("f") == fields) & F.forall(F.slice("f", 2 + texts, fields - 1 - texts), lambda x: x.rlike("^[0-9]+$"))
+    if before is not None:
+        n, was, now = (F.try_element_at("f", F.lit(before - 1 + i)).try_cast("decimal(38,0)") for i in (0, 1, 2))
+        good = F.coalesce(good & (now <= was) & ((n > 0) | (was == now)), F.lit(False))
     return seen.select(key, F.when(good, "ok").otherwise("error").alias("status"), F.when(good, F.col("f")).alias("fields"))
 
 

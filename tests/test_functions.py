@@ -41,7 +41,10 @@ def test_percent_codec(spark):
 def test_paths_and_names(spark):
     assert values(spark, ["/a/b//", "/", "a"], T.strip_slash(F.col("x"))) == ["/a/b", "/", "a"]
     assert values(spark, ["a/b", "../a", "/a", "a//b", "a\\b", "c:x"], T.safe_path(F.col("x"))) == [True, False, False, False, False, False]
-    assert values(spark, ["voice_en", "Level_Cave", "fr-voice", "Textures"], T.language_of(F.col("x"))) == ["en", None, "fr", None]
+    names = ["voice_en", "Level_Cave", "fr-voice", "Textures", "Level_en", "jp", "English(US)", "ChineseTraditional", "Finnish", "fr_FR", "es-419"]
+    assert values(spark, names, T.language_of(F.col("x"))) == [None, None, "fr", None, None, None, "en", "zh", "fi", "fr", "es"]
+    assert values(spark, ["voice_en", "en", "no", "a-fr_de", "main"], T.language_in(F.col("x"))) == ["en", None, None, "fr", None]
+    assert values(spark, ["voice_en", "a-fr_de"], T.language_base(F.col("x"))) == ["voice", "a_de"]
     assert values(spark, ["720p", "4k", "x"], T.resolution_rank(F.col("x"))) == [720, 2160, None]
     assert values(spark, ["ui_atlas01", "ui-Atlas-01"], T.atlas_hint(F.col("x"))) == [False, True]
     assert values(spark, ["Hello, World 2!"], T.fuzzy_key(F.col("x"))) == ["helloworld2"]

@@ -70,6 +70,24 @@ def test_weighted_merge(spark):
 def test_records(spark):
     df = spark.createDataFrame([("a", "ASSET|4|4096"), ("b", "noise"), ("c", "ASSET|1|2"), ("c", "ASSET|1|2"), ("d", "ASSET|1")], "game string, value string")
     assert {r.game: r.status for r in ledgers.records(df, "ASSET", 3).collect()} == {"a": "ok", "b": "error", "c": "error", "d": "error"}
+    df = spark.createDataFrame([("a", "ASSET_INVENTORY|4|x|1"), ("b", "ASSET_INVENTORY|4|5|1")], "game string, value string")
+    assert {r.game: r.status for r in ledgers.records(df, "ASSET_INVENTORY", 4).collect()} == {"a": "error", "b": "ok"}
+    plans = {"ok": "2|200|100", "grows": "2|100|200", "none": "0|200|100", "same": "0|100|100", "text": "2|200|1e2"}
+    df = spark.createDataFrame([(k, f"ASSETS|plan|Balanced|{v}") for k, v in plans.items()], "game string, value string")
+    got = {r.game: r.status for r in ledgers.records(df, "ASSETS", 6, texts=2, before=5).collect()}
+    assert got == {"ok": "ok", "grows": "error", "none": "error", "same": "ok", "text": "error"}
+
+
+def test_lines_of_several_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.vdf").write_text(f'"path"\n"/{name}1"\n"path" "/{name}2"')
+    rows = ledgers.libraries(ledgers.lines(spark, str(tmp_path / "*.vdf"))).collect()
+    assert sorted((r.file[-5:], r.path) for r in rows) == [("a.vdf", "/a1"), ("a.vdf", "/a2"), ("b.vdf", "/b1"), ("b.vdf", "/b2")]
+
+
+def test_cut_off_lines_are_skipped(spark):
+    rows = ledgers.dedupe_history(numbered(spark, "1|g|600\n1|g|600|1000|1000|400|1000|1000|200")).collect()
+    assert [(r.line_no, r.saved) for r in rows] == [(1, 200)]
 
 
 def snapshot(available, disk, status="available", device=1):

@@ -157,9 +157,9 @@ def progress_bar(done: Column, total: Column, width: int) -> Column:
 
 
 def resolution_rank(name: Column) -> Column:
-    """Lines of a name such as 720p or 4k."""
-    lines, k = F.regexp_extract(F.lower(name), r"^([0-9]{3,4})p$", 1), F.regexp_extract(F.lower(name), r"^([0-9])k$", 1)
-    return F.when(lines != "", lines.try_cast("int")).when(k != "", k.try_cast("int") * 540)
+    """Lines of a name such as 720p, or of 4k."""
+    lines = F.regexp_extract(F.lower(name), r"^([0-9]+)p$", 1)
+    return F.when(lines != "", lines.try_cast("int")).when(F.lower(name) == "4k", 2160)
 
 
 def minute(epoch: Column, offset_s: int = 0) -> Column:

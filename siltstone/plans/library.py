@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..jobs import resume
-from ..operators import classify, groups, inventory, lookup, quality, rangejoin, ratios, reports
+from ..operators import audits, classify, groups, inventory, lookup, quality, rangejoin, ratios, reports
 from ..sources import discovery, headers, ledgers
 from ..streaming import incremental
 from . import storage
@@ -572,3 +572,114 @@ def capped_report(t):
 @query("SELECT doc_id, n FROM (SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY sha256(text)) WHERE n > 1")
 def whole_file_copies(t):
     return groups.copies(t("documents").filter("text is not null"), "doc_id", [F.sha2(F.col("text").cast("binary"), 256)], ["hash"]).select(F.col("keep_id").alias("doc_id"), "n")
+
+
+# --- audits --------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE s_suppkey % 4 > 0) AS completed, count(*) FILTER (WHERE s_suppkey % 4 > 0 AND s_suppkey % 3 > 0) AS candidates, count(*) FILTER (WHERE s_suppkey % 4 = 0) AS errors FROM supplier""")
+def plan_verification(t):
+    k = F.col("s_suppkey")
+    line = F.concat_ws("|", F.lit("ASSETS|plan|Balanced"), (k % 3).cast("string"), F.lit("200"), F.when(k % 3 == 0, "200").otherwise("150"))
+    rows = t("supplier").select("s_suppkey", F.when(k % 4 == 0, "ASSETS|plan|Balanced|x|1|1").otherwise(line).alias("value"))
+    return audits.candidate_summary(audits.verified_plans(rows, 6, 2, 5, "s_suppkey"))
+
+
+@query("""SELECT p_partkey, p_partkey % 8 IN (0, 1, 2) AS known FROM part""")
+def reader_names(t):
+    names = (
+        audits.TEXTURE_READER, audits.TEXTURE_READER + ", FNA, Version=1.0.0.65535, Culture=neutral, PublicKeyToken=null", audits.TEXTURE_READER + ", MonoGame.Framework, PublicKeyToken=00aa00AA00aa00AA", "X" + audits.TEXTURE_READER,
+        audits.TEXTURE_READER + ", Other", audits.TEXTURE_READER + ", FNA, Version=1.0.0.65536", audits.TEXTURE_READER + ", FNA, Culture=neutral, Culture=neutral", audits.TEXTURE_READER + ", FNA, Version=1.0.0",
+    )
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return t("part").select("p_partkey", audits.known_texture_reader(name, F.lit(0)).alias("known"))
+
+
+@query("""SELECT count(*) FILTER (WHERE s = 'exported') AS exported, CAST(coalesce(sum(b) FILTER (WHERE s = 'exported'), 0) AS BIGINT) AS before, CAST(coalesce(sum(a) FILTER (WHERE s = 'exported'), 0) AS BIGINT) AS after, count(*) FILTER (WHERE s LIKE 'skipped%') AS skipped, count(*) FILTER (WHERE s = 'failed') AS failed
+  FROM (SELECT b, a, CASE WHEN l_returnflag = 'A' THEN 'skipped_unsupported' WHEN l_linenumber = 1 THEN 'failed' WHEN a >= b THEN 'skipped_no_gain' ELSE 'exported' END AS s FROM (SELECT *, CAST(l_quantity AS BIGINT) * 10 AS b, l_partkey % 500 AS a FROM lineitem))""")
+def texture_export(t):
+    error = F.when(F.col("l_returnflag") == "A", "unsupported").when(F.col("l_linenumber") == 1, "disk")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_quantity").cast("long") * 10).alias("before"), (F.col("l_partkey") % 500).alias("after"), error.alias("error"))
+    return audits.export_totals(audits.export_report(rows))
+
+
+@query("""SELECT l_orderkey, count(*) AS n, CAST(sum(d1 * d1 + d2 * d2 + d3 * d3) AS BIGINT) AS black, CAST(sum((d1 + e) * (d1 + e) + (d2 + e) * (d2 + e) + (d3 + e) * (d3 + e)) AS BIGINT) AS white, count(*) FILTER (WHERE a <> a2) AS alpha_differing FROM (SELECT l_orderkey, a, a2, r * a - r2 * a2 AS d1, g * a - g * a2 AS d2, 7 * a - 9 * a2 AS d3, (a2 - a) * 255 AS e FROM (SELECT l_orderkey, l_partkey % 256 AS r, (l_partkey + 3) % 256 AS r2, l_suppkey % 256 AS g, CASE WHEN l_linenumber < 4 THEN 255 ELSE 128 END AS a, CASE WHEN l_linenumber < 5 THEN 255 ELSE 128 END AS a2 FROM lineitem)) GROUP BY 1""")
+def texture_quality(t):
+    n = F.col("l_linenumber")
+    px = t("lineitem").select("l_orderkey", (F.col("l_partkey") % 256).alias("r"), ((F.col("l_partkey") + 3) % 256).alias("r2"), (F.col("l_suppkey") % 256).alias("g"), (F.col("l_suppkey") % 256).alias("g2"), F.lit(7).alias("b"), F.lit(9).alias("b2"), F.when(n < 4, 255).otherwise(128).alias("a"), F.when(n < 5, 255).otherwise(128).alias("a2"))
+    return audits.composite_errors(px, ["l_orderkey"]).drop("black_db", "white_db")
+
+
+@query("""SELECT l_suppkey, count(*) AS files, count(*) FILTER (WHERE NOT atlas AND NOT bad) AS audited, count(*) FILTER (WHERE atlas) AS name_skips, count(*) FILTER (WHERE saved IS NOT NULL) AS candidates, CAST(coalesce(sum(saved), 0) AS BIGINT) AS saving, count(*) FILTER (WHERE NOT atlas AND bad) AS errors, CASE WHEN bool_or(NOT atlas AND bad) THEN 'partial error' ELSE 'ok' END AS status
+  FROM (SELECT *, CASE WHEN NOT atlas AND NOT bad AND s > 512 THEN s * 1024 - s * 1024 * 512 * 512 // (s * s) END AS saved FROM (SELECT l_suppkey, l_linenumber = 2 AS atlas, l_returnflag = 'A' AS bad, CAST(l_quantity AS BIGINT) * 40 AS s FROM lineitem)) GROUP BY 1""")
+def texture_opportunities(t):
+    side = F.col("l_quantity").cast("long") * 40
+    rows = t("lineitem").select("l_suppkey", F.when(F.col("l_linenumber") == 2, "ui/Atlas-1.xnb").otherwise("ui/page.xnb").alias("path"), side.alias("width"), side.alias("height"), (side * 1024).alias("payload"), F.when(F.col("l_returnflag") == "A", "bad header").alias("error"))
+    return audits.texture_opportunities(rows, ["l_suppkey"], 512)
+
+
+@query("""SELECT l_returnflag AS format, count(*) AS textures, CAST(coalesce(sum(q) FILTER (WHERE l_linenumber < 4), 0) AS BIGINT) AS inline_bytes, CAST(coalesce(sum(q) FILTER (WHERE l_linenumber >= 4), 0) AS BIGINT) AS streamed_bytes FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY 1""")
+def texture_formats(t):
+    q, own = F.col("l_quantity").cast("long"), F.col("l_linenumber") < 4
+    return audits.format_rollup(t("lineitem").select(F.col("l_returnflag").alias("format"), F.when(own, q).alias("inline_bytes"), F.when(~own, q).alias("streamed_bytes")))
+
+
+@query("""SELECT l_orderkey, count(*) AS changed, count(*) FILTER (WHERE NOT fit) AS failed, arg_min(l_linenumber, db * 100 + l_linenumber) AS worst_entry, bool_and(fit) AS passed FROM (SELECT l_orderkey, l_linenumber, db, l_returnflag <> 'R' AND db >= 20 AS fit FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey % 6 * 10 AS db FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)) GROUP BY 1""")
+def audio_verification(t):
+    first = t("lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("entry")).agg(F.min_by(F.struct("l_returnflag", "l_partkey"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("x"))
+    rows = first.select("l_orderkey", "entry", (F.col("x.l_returnflag") != "R").alias("same_meta"), F.pow(F.lit(10.0), F.col("x.l_partkey") % 6).alias("signal"), F.lit(1.0).alias("error"))
+    return audits.audio_verdict(rows, ["l_orderkey"]).drop("worst_db")
+
+
+_ITEMS = "SELECT l_suppkey, CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END AS kind, CAST(l_quantity AS BIGINT) * 8 AS raw, CAST(l_quantity AS BIGINT) * 5 AS disk, l_partkey % 50 AS physical, l_orderkey % 9 AS referenced FROM lineitem"
+
+
+@query(f"""WITH i AS ({_ITEMS}), b AS (SELECT l_suppkey, disk, raw, referenced FROM i WHERE kind = 0 UNION ALL SELECT l_suppkey, min(disk), min(raw), sum(referenced) FROM i WHERE kind <> 0 AND physical <> 0 GROUP BY l_suppkey, physical),
+  s AS (SELECT l_suppkey, CAST(sum(disk) AS BIGINT) AS disk, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(referenced) AS BIGINT) AS referenced FROM b GROUP BY 1) SELECT *, CASE WHEN raw > 0 THEN disk * 100 // raw ELSE 0 END AS pct FROM s""")
+def extent_sizes(t):
+    q = F.col("l_quantity").cast("long")
+    items = t("lineitem").select("l_suppkey", F.when(F.col("l_linenumber") == 1, 0).otherwise(1).alias("kind"), (q * 8).alias("raw"), (q * 5).alias("disk"), (F.col("l_partkey") % 50).alias("physical"), (F.col("l_orderkey") % 9).alias("referenced"))
+    return audits.extent_sizes(items, ["l_suppkey"])
+
+
+@query(f"SELECT game, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM (SELECT game, ino, arg_min(size, rel_path) AS size FROM (SELECT game, ino, rel_path, max(size) AS size FROM ({_FILES}) GROUP BY ALL) GROUP BY ALL) GROUP BY 1")
+def logical_sizes(t):
+    own = files(t).groupBy("game", "dev", "ino", "rel_path").agg(F.max("size").alias("size"))
+    return audits.logical_bytes(own, ["game"])
+
+
+@query(f"SELECT name, path, saved_mib * 100 // uncomp_mib AS pct, CAST(sum(saved_mib) OVER () * 100 // sum(uncomp_mib) OVER () AS BIGINT) AS whole_pct, count(*) OVER () AS rows FROM ({_STATE}) WHERE path IS NOT NULL AND uncomp_mib > 0")
+def statistics_screen(t):
+    rows, totals = audits.statistics(state(t))
+    return rows.crossJoin(F.broadcast(totals.select(F.col("pct").alias("whole_pct"), "rows")))
+
+
+@query("SELECT count(*) AS games, count(*) FILTER (WHERE o_orderstatus <> 'P') AS measured, CAST(sum(o_custkey - o_orderkey) FILTER (WHERE o_orderstatus <> 'P') AS BIGINT) AS saved FROM orders")
+def job_savings(t):
+    known = F.col("o_orderstatus") != "P"
+    return audits.job_saving(t("orders").select(F.col("o_custkey").alias("before"), F.when(known, F.col("o_orderkey")).alias("after_assets")))
+
+
+@query("""SELECT s_suppkey, path, CAST(bytes AS BIGINT) AS bytes FROM (SELECT s_suppkey, unnest(['data/720p', 'data/1080p', 'alt/BC3']) AS path, unnest([720, 1080, 3]) AS bytes, unnest([1, 2, 3]) AS k FROM supplier) WHERE (s_nationkey_of(s_suppkey))""".replace("WHERE (s_nationkey_of(s_suppkey))", "WHERE k = 1 AND s_suppkey % 4 = 0 OR k <= 2 AND s_suppkey % 4 = 1"))
+def tier_folders(t):
+    """Of each supplier: two resolutions (0), two under a base folder (1), a resolution and a language (2), a resolution and a platform (3)."""
+    kind = F.col("s_suppkey") % 4
+    second = F.when(kind < 2, "1080p").when(kind == 2, "fr").otherwise("Linux")
+    rows = [("720p", F.lit("720p"), F.lit(720)), ("2", second, F.lit(1080))]
+    dirs = None
+    for _, name, size in rows:
+        part = t("supplier").select("s_suppkey", F.concat(F.lit("data/"), name).alias("path"), name.alias("name"), size.cast("long").alias("bytes"))
+        dirs = part if dirs is None else dirs.unionByName(part)
+    base = t("supplier").filter(kind == 1).select("s_suppkey", F.lit("data").alias("path"), F.lit("data").alias("name"), F.lit(5000).cast("long").alias("bytes"))
+    held = dirs.unionByName(base).withColumn("members", F.array(F.lit("A.pkg"), F.lit("B.pkg")))
+    return audits.tier_plan(held, ["s_suppkey"])
+
+
+@query(f"SELECT count(*) AS lines, CAST(sum(CASE WHEN h = 1 THEN 1 ELSE 0 END) AS BIGINT) AS headers, count(*) FILTER (WHERE fresh) AS fresh FROM (SELECT 0 AS h, running AND s_suppkey % 7 > 0 AS fresh FROM ({_GAMES}) UNION ALL SELECT 0, true FROM ({_GAMES}) WHERE running AND s_suppkey % 7 = 0 UNION ALL SELECT 0, false UNION ALL SELECT 1, false)")
+def state_upsert(t):
+    """The state ledger's text with the running games' lines written anew; a comment stays, the header stands once."""
+    head = t("region").sparkSession.createDataFrame([(-3, ledgers.STATE_HEADER), (-2, "# a note"), (-1, ledgers.STATE_HEADER)], "line_no long, value string")
+    text = head.unionByName(state_lines(t).select(F.col("line_no").cast("long").alias("line_no"), "value"))
+    fresh = games(t).filter("running").select("path", F.concat(T.percent_encode(F.col("path")), F.lit("|new|1|1M|1M|0|0|1|1")).alias("value"))
+    out = ledgers.upsert_text(text, fresh)
+    return out.agg(F.count("*").alias("lines"), F.count_if(F.col("value") == ledgers.STATE_HEADER).alias("headers"), F.count_if(F.col("value").contains("|new|1|")).alias("fresh"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field, fields
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,41 @@ def running_dirs(maps: DataFrame, working: DataFrame, roots: DataFrame) -> DataF
     return inside.select(F.concat_ws("/", "root", F.substring_index(rest, "/", 1)).alias("path")).distinct()
 
 
+FILES = "game string, rel_path string, size long, mtime_ns long, kind string, dev long, ino long, blocks long"
+
+
+def scan_files(roots: DataFrame, skip: tuple[str, ...] = (), one_device: bool = True) -> DataFrame:
+    """The files relation of folders (game, path) that all executors reach: files and directories below each, without links, ``skip`` folders, or (with ``one_device``) what lies on another device.
+
+    A folder is one unit of work; an unreadable one ends the scan with its error.
+    """
+
+    def walk(frames):
+        for frame in frames:
+            for game, top in zip(frame.game, frame.path):
+                device, rows, waiting = os.stat(top).st_dev, [], [top]
+                while waiting:
+                    with os.scandir(waiting.pop()) as found:
+                        for entry in sorted(found, key=lambda e: e.name):
+                            seen = entry.stat(follow_symlinks=False)
+                            is_dir = entry.is_dir(follow_symlinks=False)
+                            if not (is_dir or entry.is_file(follow_symlinks=False)) or (is_dir and entry.name in skip) or (one_device and seen.st_dev != device):
+                                continue
+                            if is_dir:
+                                waiting.append(entry.path)
+                            rows.append((game, os.path.relpath(entry.path, top), seen.st_size, seen.st_mtime_ns, "d" if is_dir else "f", seen.st_dev, seen.st_ino, seen.st_blocks))
+                yield pd.DataFrame(rows, columns=[f.split()[0] for f in FILES.split(", ")])
+
+    n = max(1, int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return roots.select("game", "path").repartition(n, "path").mapInPandas(walk, FILES)
+
+
+def status_games(document: DataFrame, column: str = "value") -> DataFrame:
+    """(name, path, status, bytes, expected_gain) of the games of JSON status documents; what is no such document gives no row."""
+    shape = "games array<struct<name: string, path: string, status: string, bytes: long, expected_gain: long>>"
+    return document.select(F.explode(F.from_json(column, shape)["games"]).alias("g")).select("g.*").filter("name is not null")
+
+
 def first_readable(paths: list[str], imported: str | None = None, repository_only: bool = False) -> str | None:
     """The ratio file to read: an imported one first, unless only the repository's count, else the first that is readable."""
     order = ([imported] if imported and not repository_only else []) + paths

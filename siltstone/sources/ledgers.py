@@ -42,6 +42,21 @@ def compression_state(text: DataFrame) -> DataFrame:
     return last.select("r.*")
 
 
+def upsert_text(text: DataFrame, rows: DataFrame) -> DataFrame:
+    """(line_no, value): the state ledger's lines with the lines of new rows' paths replaced; comments and legacy lines stay, the header stands first, once.
+
+    ``rows`` is (path, value), a line each; of repeated paths the greatest line counts. Numbers go on behind the ledger's last.
+    """
+    fresh = rows.select(T.strip_slash(F.col("path")).alias("path"), "value").groupBy("path").agg(F.max("value").alias("value"))
+    f = F.split("value", r"\|")
+    path = F.when(~F.startswith("value", F.lit("#")) & (F.size(f) >= 9), T.strip_slash(T.percent_decode(F.get(f, F.lit(0)))))
+    kept = text.filter((F.col("value") != STATE_HEADER) & (F.trim("value") != "")).withColumn("path", path).join(fresh.select("path"), "path", "left_anti").select(F.col("line_no").cast("long").alias("line_no"), "value")
+    last = text.agg(F.coalesce(F.max("line_no"), F.lit(0)).cast("long").alias("last"))
+    added = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + 1 + F.pmod(F.xxhash64("path"), F.lit(1 << 40))).alias("line_no"), "value")
+    head = text.sparkSession.createDataFrame([(-1, STATE_HEADER)], "line_no long, value string")
+    return head.unionByName(kept).unionByName(added)
+
+
 def measured(state: DataFrame) -> DataFrame:
     """Rows that hold a measurement: marker rows of zeros are none."""
     return state.filter("path <> '' and uncomp_mib > 0 and disk_mib is not null")

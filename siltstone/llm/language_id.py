@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS, SYMBOLS, SEED = 512, 64, 11
-#: Texts that a fit reads, as expected over the hash of their ids.
-SAMPLE = 20_000
+#: Texts that a fit reads, and those of each language that it reads where there are so many, as expected over the hash of their ids.
+SAMPLE, LEAST = 20_000, 1_000
 UNKNOWN = "und"
 
 
@@ -70,14 +70,17 @@ def bundle(text: str | None) -> np.ndarray | None:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Profiles:
-    """Prototypes from about ``sample`` rows with text and language at most; prototypes are sums of whole numbers, so they don't depend on the order of rows.
+    """Prototypes from about ``sample`` rows with text and language at most, and about ``LEAST`` of each language if that is more; prototypes are sums of whole numbers, so they don't depend on the order of rows.
 
     Rows with a null language are not read, texts that are null or have no letter tell nothing, repeated rows are in the sample together; without rows no language is learned. Further columns are not read.
     """
     common.ship(docs.sparkSession)
     rows = common.numbered(docs).select(common.named(docs, id_col).alias("doc_id"), common.named(docs, lang_col).cast("string").alias("lang"), common.named(docs, text_col).cast("string").alias("text")).filter("lang is not null")
-    share = min(1.0, sample / max(1, rows.select("lang").count()))
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
+    # The share of each language's rows: so that the sample is of the size given, but of rare languages more.
+    total = max(1, rows.select("lang").count())
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.greatest(F.lit(sample / total), F.lit(float(LEAST)) / F.count("*"))).alias("share"))
+    picked = common.join_sized(rows, shares, "lang", "inner")
+    rows = picked.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < (F.col("share") * (1 << 20)).cast("long")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,16 @@ def report_totals(rows: DataFrame, value: str, status: str = "status") -> DataFr
     return rows.agg(F.count("*").alias("total"), F.count_if(ok).alias("completed"), F.count_if(~ok).alias("errors"), F.sum(F.when(ok, F.col(value))).alias("saving"))
 
 
+def write_whole(path: str, text: str) -> None:
+    """Write a report so that a reader sees the old one or the new one, never a part."""
+    temp = f"{path}.{os.getpid()}.tmp"
+    with open(temp, "w", encoding="utf-8") as out:
+        out.write(text)
+        out.flush()
+        os.fsync(out.fileno())
+    os.replace(temp, path)
+
+
 def markdown(df: DataFrame, title: str) -> str:
     """A small result as a Markdown table, pipes escaped."""
     rows = df.collect()

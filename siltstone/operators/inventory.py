@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Extensions of the inventory's families.
 RASTER = ("png", "jpg", "jpeg", "tga", "bmp", "dds")
@@ -101,13 +103,19 @@ def is_variant(name: Column) -> Column:
 
 
 def greedy_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
-    """Rows taken in order while they fit a budget; one that is too large is left out without using it."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).alias("_cost"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"), F.lit(0).alias("i"))
-    fits = lambda a, x: a.used + x["_cost"] <= budget
-    run = F.aggregate("_items", start, lambda a, x: F.struct((a.used + F.when(fits(a, x), x["_cost"]).otherwise(0)).alias("used"), F.when(fits(a, x), F.concat(a.taken, F.array(a.i))).otherwise(a.taken).alias("taken"), (a.i + 1).alias("i")))
-    held = df.groupBy(*keys).agg(items.alias("_items")).withColumn("_run", run)
-    return held.select(*keys, F.posexplode("_items").alias("_i", "_x"), "_run").select(*keys, *[F.col(f"_x.{o}").alias(o) for o in order], F.col("_x._cost").alias(cost), F.array_contains("_run.taken", F.col("_i")).alias("taken"))
+    """Rows taken in order while they fit a budget; one that is too large is left out without using it. A key's rows are one group, in time in proportion to them."""
+    columns = [*keys, *order, cost]
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, used, taken = pdf.sort_values(order, kind="stable"), 0, []
+        for size in own[cost].tolist():
+            fits = used + size <= budget
+            used += size * fits
+            taken.append(fits)
+        return own.assign(taken=taken)
+
+    schema = T.StructType([*(df.schema[c] for c in columns), T.StructField("taken", T.BooleanType())])
+    return df.select(*columns).groupBy(*keys).applyInPandas(take, schema)
 
 
 def prefix_cut(df: DataFrame, keys: list[str], order: list[str], out: str = "place") -> DataFrame:

@@ -141,11 +141,12 @@ def recheck(state: DataFrame, measured: DataFrame) -> DataFrame:
 
 
 def migrate(state: DataFrame, games: DataFrame) -> DataFrame:
-    """The state with legacy rows (by name) moved to the path of the one game with that name; all others stay."""
+    """The state with legacy rows (by name) moved to the path of the one game with that name, the newest of a path; all others stay."""
     single = latest.only_once(games.select("name", F.col("path").alias("_path")), "name")
     joined = state.join(single, "name", "left")
     taken = state.filter("path is not null").select(F.col("path").alias("_path")).distinct()
     moved = joined.filter("path is null and _path is not null").join(taken, "_path", "left_anti").select(*[F.col("_path").alias("path") if c == "path" else F.col(c) for c in state.columns])
+    moved = latest.latest_per_key(moved, ["path"], "ts", "name").select(state.columns)
     stay = joined.filter("path is not null or _path is null").select(state.columns)
     return stay.unionByName(moved)
 

@@ -2,7 +2,8 @@
 
 A vector is coded as a sum of one full-dimensional codeword from each codebook, found by beam search; codebooks start from k-means of residuals and are then fitted to the beam's codes by least squares, one after another. The
 norm of each code's sum is stored beside it, so the squared distance to a query is |q|^2 - 2 (sum of the query's inner products with the codewords, from a lookup table) + norm. Every vector is coded, and scored
-against every query in blocks; the best by that score are ranked again by exact distance. Their number grows with the table, so that recall doesn't fall as it grows; with all of them (``rerank``) the search is exact.
+against every query in blocks. A query's best of each block by that score are ranked again by exact distance where the block is, and only the ``k`` nearest of them leave it. So candidates grow with the
+table and recall doesn't fall as it grows; with blocks ranked whole (``rerank``) the search is exact.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Codebooks, codewords in each, beam width, vectors that a fit reads, and candidates for each query that are ranked exactly: so many, or this share of all vectors if that is more.
-BOOKS, WORDS, BEAM, SAMPLE, RERANK, RERANK_SHARE = 16, 256, 8, 20_000, 500, 0.01
-#: Queries and vectors of a block.
-QUERY_BLOCK, CODE_BLOCK = 256, 8192
+#: Codebooks, codewords in each, beam width, vectors that a fit reads, and candidates in each block of codes that are ranked exactly for each query.
+BOOKS, WORDS, BEAM, SAMPLE, RERANK = 16, 256, 8, 20_000, 500
+#: Vectors of a block, queries of a group, and queries whose lookup tables are held at once.
+CODE_BLOCK, QUERY_BLOCK, TABLES = 8192, 2048, 128
 
 
 def _sums(x: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +112,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERA
 
     Vectors that are null, zero or hold null or non-finite components take no part, and only vectors of a query's own length are near it. Of rows with the same id
     each is a candidate; all rows with the query's id are its own, and one of them (the least vector) asks. With fewer candidates than ``k`` all are returned; an empty table gives an
-    empty result; further columns are not read. Codebooks are fitted on a sample of up to ``SAMPLE`` vectors; all vectors are coded.
+    empty result; further columns are not read. Codebooks are fitted on a sample of up to ``SAMPLE`` vectors; all vectors are coded. ``rerank`` is a number of candidates in each block.
     """
     spark = vectors.sparkSession
     common.ship(spark)
@@ -125,7 +126,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERA
 
 
 def _search(rows: DataFrame, every: int, k: int, rerank: int) -> DataFrame:
-    spark = rows.sparkSession
+    spark, schema = rows.sparkSession, "query_id long, vec_id long, score double"
     n = rows.count()
     share = min(1.0, SAMPLE / n)
     sample = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("vec_id", "vector").limit(2 * SAMPLE).select("vector").toPandas()
@@ -135,7 +136,6 @@ def _search(rows: DataFrame, every: int, k: int, rerank: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(books)
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     queries = common.store(queries, "queries")
-    rerank = max(rerank, int(np.ceil(RERANK_SHARE * n)))
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -143,9 +143,10 @@ def _search(rows: DataFrame, every: int, k: int, rerank: int) -> DataFrame:
                 part = frame.iloc[a : a + CODE_BLOCK].sort_values("vec_id", kind="stable")
                 x = _matrix(part.vector)
                 codes = encode(x, shared.value)
-                yield pd.DataFrame({"ids": [part.vec_id.to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [(decode(codes, shared.value) ** 2).sum(1).tobytes()]})
+                norms = (decode(codes, shared.value) ** 2).sum(1)
+                yield pd.DataFrame({"ids": [part.vec_id.to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()], "vectors": [_packed(x)]})
 
-    coded = common.store(rows.mapInPandas(code, "ids binary, codes binary, norms binary"), "codes")
+    coded = common.store(rows.mapInPandas(code, "ids binary, codes binary, norms binary, vectors binary"), "codes")
     # The stated queries meet all vectors in blocks: each block of codes goes with every group of queries.
     groups = max(1, -(-queries.count() // QUERY_BLOCK))
 
@@ -155,42 +156,61 @@ def _search(rows: DataFrame, every: int, k: int, rerank: int) -> DataFrame:
 
     dealt = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
     asked = common.store(dealt.groupBy("group").applyInPandas(gather, "group int, names binary, asked binary"), "asked")
-    met = common.join_sized(coded.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), asked, "group", "inner", 2 * QUERY_BLOCK * (books.shape[2] + 1) * 8)
-    near = met.select("ids", "codes", "norms", "names", "asked").mapInArrow(_scorer(shared, rerank), "query_id long, vec_id long, approx double")
-    best = Window.partitionBy("query_id").orderBy("approx", "vec_id")
-    near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= rerank).select("query_id", "vec_id").distinct()
-    near = common.store(near, "near")
-    pairs = near.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_id")
-    square = F.zip_with("vector", "query", lambda a, b: (a - b) * (a - b))
-    scored = pairs.select("query_id", "vec_id", F.sqrt(F.aggregate(square, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+    near = _met(coded, asked, groups, 2 * QUERY_BLOCK * (books.shape[2] + 1) * 8).mapInArrow(_scorer(shared, k, rerank), schema)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _scorer(books, rerank: int):
-    """For each block of codes and group of queries, the ``rerank`` candidates of the best table score of each query."""
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """A matrix as bytes, in single precision where that holds its values exactly."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return (single if np.array_equal(single, x) else x).tobytes()
+
+
+def _met(coded: DataFrame, asked: DataFrame, groups: int, group_bytes: int) -> DataFrame:
+    """Each block of codes beside each group of queries. Groups of a counted size are broadcast; more of them are sent to parts of the blocks, so that a block is shuffled only once."""
+    if groups * group_bytes <= common.BROADCAST_BYTES:
+        met = coded.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(F.broadcast(asked), "group")
+    else:
+        parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = coded.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+        met = dealt.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), "part")
+    return met.select("ids", "codes", "norms", "vectors", "names", "asked")
+
+
+def _scorer(books, k: int, rerank: int):
+    """For each block of codes and group of queries, the ``k`` nearest to each query, by exact distance, of the block's ``rerank`` candidates of the best table score."""
+
+    def nearest(q: np.ndarray, name: int, table: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        approx = norms.copy()
+        for book, products in enumerate(table):
+            approx -= 2 * products[codes[book]]
+        approx[(ids == name) | np.isnan(approx)] = np.inf
+        best = np.arange(len(approx))
+        if len(approx) > rerank:
+            bound = np.partition(approx, rerank - 1)[rerank - 1]
+            under, ties = np.flatnonzero(approx < bound), np.flatnonzero(approx == bound)
+            best = np.r_[under, ties[: rerank - len(under)]]
+        best = best[ids[best] != name]
+        # One component after another, as a sum in order gives it.
+        score = np.sqrt(np.add.accumulate((x[best].astype(np.float64) - q) ** 2, axis=1)[:, -1])
+        first = np.lexsort((ids[best], score))[:k]
+        return ids[best][first], score[first]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = books.value
         for batch in common.slices(batches, 1):
-            ids, codes, norms, names, asked = (batch.column(i)[0].as_py() for i in range(5))
-            i, c, m = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, len(tables)), np.frombuffer(norms, np.float64)
-            names = np.frombuffer(names, np.int64)
-            lookup = np.einsum("qd,mwd->mqw", np.frombuffer(asked, np.float64).reshape(len(names), -1), tables, optimize=True)
-            rows: list[tuple] = []
-            for j, name in enumerate(names.tolist()):
-                approx = m.copy()
-                for book in range(len(tables)):
-                    approx -= 2 * lookup[book, j][c[:, book]]
-                approx[i == name] = np.inf
-                if len(approx) > rerank:
-                    bound = np.partition(approx, rerank - 1)[rerank - 1]
-                    under, ties = np.flatnonzero(approx < bound), np.flatnonzero(approx == bound)
-                    best = np.r_[under, ties[: rerank - len(under)]]
-                else:
-                    best = np.arange(len(approx))
-                best = best[np.isfinite(approx[best])]
-                rows.append((np.full(len(best), name), i[best], approx[best]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["query_id", "vec_id", "approx"])
+            ids, codes, norms, vectors, names, asked = (batch.column(i)[0].as_py() for i in range(6))
+            i, m, names = np.frombuffer(ids, np.int64), np.frombuffer(norms, np.float64), np.frombuffer(names, np.int64)
+            c = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(i), -1).T)
+            asked = np.frombuffer(asked, np.float64).reshape(len(names), -1)
+            x = np.frombuffer(vectors, np.float64 if len(vectors) == 8 * len(i) * asked.shape[1] else np.float32).reshape(len(i), -1)
+            for a in range(0, len(names), TABLES):
+                part = asked[a : a + TABLES]
+                lookup = np.einsum("qd,mwd->qmw", part, tables, optimize=True)
+                found = [nearest(q, name, table, i, c, m, x) for q, name, table in zip(part, names[a : a + TABLES].tolist(), lookup)]
+                columns = np.repeat(names[a : a + TABLES], [len(v) for v, _ in found]), np.concatenate([v for v, _ in found]), np.concatenate([s for _, s in found])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["query_id", "vec_id", "score"])
 
     return score

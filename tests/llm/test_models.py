@@ -356,6 +356,24 @@ def test_neighbours_clustered_and_exact(spark):
         assert len(got) == 30 and np.mean(hits) >= least
 
 
+def test_neighbours_of_many_groups(spark, monkeypatch):
+    """Groups of queries beyond the bound of a broadcast meet the parts of the blocks; with blocks ranked whole the scores are exact to the last bit."""
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(neighbours.common, "BROADCAST_BYTES", 0)
+    x = np.random.default_rng(9).normal(size=(1500, 24))
+    x[700:715] = x[3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got: dict = {}
+    for r in neighbours.search(df, every=3, rerank=9000).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(got) == 500
+    for q in range(0, 1500, 3):
+        d = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        d[q] = np.inf
+        order = np.lexsort((np.arange(1500), d))[:10]
+        assert sorted(got[q]) == [(j + 1, int(v), float(d[v])) for j, v in enumerate(order)]
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [3.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, []), (100, [3.0, 2.0]), (None, [1.0, 1.0]), (200, [1.0]), (201, [2.0])]

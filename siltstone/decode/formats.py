@@ -502,10 +502,31 @@ def rsrc(f: Reader) -> Iterator[Record]:
     yield "GODOT_RESOURCE", text(f.read(n).rstrip(b"\0")), {"compressed": 0, "major": major, "minor": minor, "format": fmt}, {}
 
 
+# First bytes of a package, the decoded bytes of a chunk (the first lacks the four of the magic), and limits on chunks and bytes.
+PACKAGE_MAGIC, PACKAGE_CHUNK, PACKAGE_CHUNKS, PACKAGE_BYTES = b"\x20\0\0\x07", 1 << 25, 128, 512 << 20
+
+
+def package(f: Reader) -> Iterator[Record]:
+    """Chunked packages: where each chunk lies and whether it is stored or compressed. Payloads are not read, so the decoded bytes are known of stored chunks alone."""
+    need(10 <= f.length <= PACKAGE_BYTES, "package size")
+    need(f.seek(0).read(4) == PACKAGE_MAGIC, "no package of this version")
+    room, at = PACKAGE_CHUNK - 4, 0
+    while f.at < f.length:
+        need(at < PACKAGE_CHUNKS, "too many chunks")
+        begin, kind = f.at, f.number("B")
+        need(kind in (0, 1), "unknown chunk flag")
+        size = f.number(">I") if kind else room
+        need(0 < size <= PACKAGE_CHUNK + PACKAGE_CHUNK // 255 + 16 and f.at + size <= f.length, "chunk size")
+        yield "PACKAGE_CHUNK", "lz4" if kind else "stored", {"at": at, "offset": begin, "size": size, "room": room}, {}
+        f.seek(f.at + size)
+        room, at = PACKAGE_CHUNK, at + 1
+
+
 #: By the first bytes, in order; packs without magic at their start come last.
 MAGIC: list[tuple[bytes, str, Callable[[Reader], Iterator[Record]]]] = [
     (b"XNB", "xnb", xnb), (b"FSB5", "fsb5", fsb5), (b"GDPC", "pck", pck), (b"UnityFS\0", "unityfs", unityfs), (b"-==-", "utoc", utoc), (b"\x34\x12\xaa\x55", "vpk", vpk), (b"VTF\0", "vtf", vtf),
     (b"FORM", "form", form), (b"DDS ", "dds", dds), (b"GST2", "gst2", gst2), (b"GDST", "gdst", gdst), (b"RSRC", "rsrc", rsrc), (b"RSCC", "rsrc", rsrc),
+    (PACKAGE_MAGIC, "package", package),
 ]
 
 

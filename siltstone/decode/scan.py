@@ -115,6 +115,13 @@ def method_rollup(records: DataFrame) -> DataFrame:
     return own.groupBy("path", "method").agg(F.count("*").alias("entries"), F.sum("size").alias("size"), F.sum("raw").alias("raw"))
 
 
+def package_rollup(records: DataFrame) -> DataFrame:
+    """Of each package its chunks, those that are compressed, and their bytes; only these can be compressed better."""
+    n = F.col("numbers")
+    packed = F.col("name") == "lz4"
+    return records.filter("record = 'PACKAGE_CHUNK'").groupBy("path").agg(F.count("*").alias("chunks"), F.count_if(packed).alias("packed"), F.sum(F.when(packed, n["size"]).otherwise(0)).alias("packed_bytes"))
+
+
 def coverage(records: DataFrame, record: str, start: str = "offset", length: str = "size") -> DataFrame:
     """Of each file's extents of one kind: union length, repeats and overlapping islands."""
     n = F.col("numbers")

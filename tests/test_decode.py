@@ -121,6 +121,29 @@ def test_textures_and_sounds():
     assert records(b"RSRC" + struct.pack("<6I", 0, 0, 4, 3, 6, len(name)) + name)[1][0][1] == "AudioStreamWAV"
 
 
+def make_package(*chunks):
+    """Compressed chunks as their bytes, a stored one as None."""
+    body = b"\x20\0\0\x07"
+    for i, c in enumerate(chunks):
+        body += bytes(1 + formats.PACKAGE_CHUNK - 4 * (i == 0)) if c is None else b"\1" + struct.pack(">I", len(c)) + c
+    return body
+
+
+def test_package(spark):
+    first, second = pa.compress(b"a" * 500, codec="lz4_raw", asbytes=True), pa.compress(b"xyz" * 90, codec="lz4_raw", asbytes=True)
+    name, got = records(make_package(first, second))
+    assert name == "package" and [(n, r["at"], r["offset"], r["size"]) for _, n, r, _ in got] == [("lz4", 0, 4, len(first)), ("lz4", 1, 9 + len(first), len(second))]
+    assert [r["room"] for _, _, r, _ in got] == [(1 << 25) - 4, 1 << 25]
+    name, got = records(make_package(None, second))
+    assert [(n, r["offset"], r["size"]) for _, n, r, _ in got] == [("stored", 4, (1 << 25) - 4), ("lz4", 1 + (1 << 25), len(second))]
+    whole = make_package(first, second)
+    for bad in (whole[:-1], whole + b"\0", whole + b"\2abcd", whole + b"\1" + bytes(4), whole + b"\1" + struct.pack(">I", 1 << 26), whole[:9], b"\x20\0\0\x05" + whole[4:]):
+        assert rejected(bad)
+    assert rejected(make_package(*[b"q"] * 129)) and not rejected(make_package(*[b"q"] * 128))
+    files = spark.createDataFrame([("a.pkg", whole), ("b.pkg", whole[:-1])], "path string, content binary")
+    assert scan.package_rollup(scan.decode_content(files)).collect() == [("a.pkg", 2, 2, len(first) + len(second))]
+
+
 def test_unity():
     info = bytes(16) + struct.pack(">I", 1) + struct.pack(">IIH", 10, 10, 0) + struct.pack(">I", 1) + struct.pack(">QQI", 0, 10, 4) + b"CAB-x\0"
     packed = pa.compress(info, codec="lz4_raw", asbytes=True)

@@ -488,18 +488,158 @@ def serialized(f: Reader) -> Iterator[Record]:
         yield "UNITY_OBJECT", str(path_id), {"class": classes[type_], "offset": data + begin, "size": n}, {}
 
 
+# Property types of Godot resources with a layout of fixed size, codecs of its samples by number, and the properties a Godot 4 sample may have.
+GODOT_VALUES = {1: ("EMPTY", ""), 2: ("BOOL", "<I"), 3: ("INTEGER", "<i"), 4: ("REAL", "<f"), 40: ("INTEGER", "<q"), 41: ("REAL", "<d")}
+GODOT_CODECS = ("PCM8", "PCM16", "IMA_ADPCM", "QOA")
+GODOT_SAMPLE = {"data", "format", "mix_rate", "stereo", "loop_mode", "loop_begin", "loop_end", "resource_name", "resource_local_to_scene", "script"}
+
+
+class _Opaque(Exception):
+    """A resource whose rest is not read, with the reason; it is no fault of the file."""
+
+
+def _godot_text(f: Reader, size: int | None = None) -> str:
+    size = f.number("<I") if size is None else size
+    need(size <= 4096, "resource text too long")
+    if not size:
+        return ""
+    held = f.read(size)
+    need(held[-1] == 0 and 0 not in held[:-1], "resource text does not end")
+    return text(held[:-1])
+
+
+def _godot_count(f: Reader, most: int) -> range:
+    n = f.number("<I")
+    need(n <= most, "too many resource entries")
+    return range(n)
+
+
+def _godot_properties(f: Reader, strings: list[str], four: bool) -> dict[str, tuple[str, object]]:
+    """Name to (kind, value) of the properties at the reader's place; of bytes the value is where they lie, and they are not read."""
+    out: dict[str, tuple[str, object]] = {}
+    for _ in _godot_count(f, 128 if four else 4096):
+        at = f.number("<I")
+        need(at >> 31 or at < len(strings), "property name out of range")
+        name = _godot_text(f, at & 0x7FFFFFFF) if at >> 31 else strings[at]
+        if four:
+            need(name != "" and name not in out, "property name empty or repeated")
+            if name not in GODOT_SAMPLE:
+                raise _Opaque("UNKNOWN_AUDIO_PROPERTY_SCHEMA")
+        type_ = f.number("<I")
+        if type_ == 5:
+            out[name] = "STRING", _godot_text(f)
+        elif type_ == 31:
+            size = f.number("<I")
+            out[name] = "DECLARED_BYTES", (f.at, size)
+            f.seek(f.at + size + (-size % 4 if four else 0))
+            need(f.at <= f.length, "property bytes outside the file")
+        elif four and type_ == 24:
+            if f.number("<I"):
+                raise _Opaque("OBJECT_REFERENCE_PROPERTY_NOT_PARSED")
+            out[name] = "EMPTY", None
+        elif type_ in GODOT_VALUES and not (four and type_ in (4, 41)):
+            kind, layout = GODOT_VALUES[type_]
+            value = f.number(layout) if layout else None
+            need(not four or kind != "BOOL" or value <= 1, "no truth value")
+            out[name] = kind, bool(value) if kind == "BOOL" else value
+        elif four:
+            raise _Opaque("UNSUPPORTED_PROPERTY_VARIANT")
+        else:
+            need(False, "property type")
+    return out
+
+
+def _godot_sample(properties: dict[str, tuple[str, object]]) -> Record:
+    """The sample that properties describe, with the engine's defaults for those left out."""
+
+    def one(name: str, kind: str, default):
+        found = properties.get(name, (kind, default))
+        need(found[0] == kind, f"type of {name}")
+        return found[1]
+
+    one("resource_name", "STRING", ""), one("resource_local_to_scene", "BOOL", False)
+    if properties.get("script", ("EMPTY",))[0] != "EMPTY":
+        raise _Opaque("SCRIPTED_AUDIO_RESOURCE_NOT_PARSED")
+    codec, rate, stereo = one("format", "INTEGER", 0), one("mix_rate", "INTEGER", 44100), one("stereo", "BOOL", False)
+    mode, begin, end = (one(f"loop_{x}", "INTEGER", 0) for x in ("mode", "begin", "end"))
+    offset, size = one("data", "DECLARED_BYTES", (0, 0))
+    need(0 <= codec <= 3 and 0 < rate < 1 << 31 and 0 <= mode <= 3 and 0 <= begin < 1 << 31 and 0 <= end < 1 << 31, "sample metadata")
+    numbers = {"rate": rate, "channels": 1 + stereo, "loop_mode": mode, "loop_begin": begin, "loop_end": end, "offset": offset, "size": size}
+    if codec < 2:
+        frames, rest = divmod(size, (1 + codec) * (1 + stereo))
+        need(rest == 0, "samples are not whole frames")
+        need(mode == 0 or begin < end <= frames, "loop outside the sample")
+        numbers["frames"] = frames
+    return "GODOT_AUDIO_WAV", GODOT_CODECS[codec], numbers, {}
+
+
+def _godot(f: Reader) -> Iterator[Record]:
+    """The records of an uncompressed resource; ends with ``_Opaque`` where the rest isn't read."""
+    big, wide = f.unpack("<2I")
+    need(big <= 1 and wide <= 1, "resource layout")
+    if big:
+        raise _Opaque("BIG_ENDIAN_RESOURCE_NOT_PARSED")
+    major, minor, fmt = f.unpack("<3I")
+    four = (major, minor, fmt) == (4, 3, 6)
+    if not four and major != 3:
+        raise _Opaque("UNSUPPORTED_ENGINE_OR_RESOURCE_VERSION")
+    kind = _godot_text(f)
+    imports, flags, uid = f.unpack("<QIQ")
+    yield "GODOT_RESOURCE", kind, {"compressed": 0, "major": major, "minor": minor, "format": fmt, "flags": flags}, {"uid": str(uid)}
+    if four and flags >> 4:
+        raise _Opaque("UNKNOWN_HEADER_FLAGS")
+    if four and flags & 8:
+        raise _Opaque("SCRIPT_CLASS_RESOURCE_NOT_PARSED")
+    reserved = f.unpack("<11I")
+    if four and any(reserved):
+        raise _Opaque("UNKNOWN_RESERVED_HEADER_FIELDS")
+    if four and imports:
+        raise _Opaque("IMPORT_METADATA_LAYOUT_NOT_PARSED")
+    strings = [_godot_text(f) for _ in _godot_count(f, 4096 if four else 65535)]
+    external = [(_godot_text(f), _godot_text(f), str(f.number("<Q")) if four and flags & 2 else "") for _ in _godot_count(f, 1024 if four else 4096)]
+    internal = [(_godot_text(f), f.number("<Q")) for _ in _godot_count(f, 1024)]
+    need(len(internal) == 1 or four and len(internal) > 1, "internal resources")
+    need(len(dict(internal)) == len(internal) == len({at for _, at in internal}), "internal resources of one path or place")
+    close = f.length - 4 if four else f.length
+    need(all(at < close and (at >= f.at or not four) for _, at in internal), "internal resource outside the data")
+    need(not four or f.take(close, 4) == b"RSRC", "no signature at the end")
+    yield "GODOT_RESOURCE_TABLES", "", {"strings": len(strings), "external": len(external), "internal": len(internal)}, {}
+    yield from (("GODOT_RESOURCE_EXTERNAL", path, {}, {"type": type_, "uid": id_}) for type_, path, id_ in external)
+    yield from (("GODOT_RESOURCE_INTERNAL", path, {"offset": at}, {}) for path, at in internal)
+    if four and kind != "AudioStreamWAV":
+        raise _Opaque("NON_WAV_RESOURCE_PAYLOAD_OPAQUE")
+    if four and (external or len(internal) > 1):
+        raise _Opaque("REFERENCED_OR_MULTI_RESOURCE_AUDIO_OPAQUE")
+    if four and (wide or flags & 4):
+        raise _Opaque("REAL64_RESOURCE_PAYLOAD_NOT_PARSED")
+    own = _godot_text(f.seek(internal[0][1]))
+    need(not four or own == kind, "class differs from the header's")
+    found = _godot_properties(f, strings, four)
+    need(not four or f.at == close, "bytes after the resource")
+    sample = _godot_sample(found) if four else None
+    for name, (type_, value) in sorted(found.items()):
+        size = {"size": value[1]} if type_ == "DECLARED_BYTES" else {"value": int(value)} if type_ in ("INTEGER", "BOOL") else {}
+        yield "GODOT_PROPERTY", name, size, {"type": type_} | ({"value": str(value)} if type_ in ("STRING", "REAL") else {})
+    if sample:
+        yield sample
+
+
 def rsrc(f: Reader) -> Iterator[Record]:
-    """Godot binary resources: header and type; compressed ones are opaque."""
-    magic = f.seek(0).read(4)
+    """Godot binary resources: header, tables, and the properties of Godot 3 resources and Godot 4.3 samples; the last record is whether all was read, or what stayed opaque.
+
+    Compressed resources are opaque, references are not followed, and the bytes of a property are not read.
+    """
+    magic, status = f.seek(0).read(4), "METADATA_ONLY"
     need(magic in (b"RSRC", b"RSCC"), "no Godot resource")
     if magic == b"RSCC":
+        status = "COMPRESSED_RESOURCE_NOT_DECODED"
         yield "GODOT_RESOURCE", "", {"compressed": 1}, {}
-        return
-    big, wide, major, minor, fmt = f.unpack("<5I")
-    need(big == 0 and wide in (0, 1) and fmt <= 6, "resource layout")
-    n = f.number("<I")
-    need(0 < n <= 4096, "type name")
-    yield "GODOT_RESOURCE", text(f.read(n).rstrip(b"\0")), {"compressed": 0, "major": major, "minor": minor, "format": fmt}, {}
+    else:
+        try:
+            yield from _godot(f)
+        except _Opaque as e:
+            status = str(e)
+    yield "GODOT_STATUS", status, {"opaque": int(status != "METADATA_ONLY")}, {}
 
 
 # First bytes of a package, the decoded bytes of a chunk (the first lacks the four of the magic), and limits on chunks and bytes.

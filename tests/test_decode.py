@@ -117,8 +117,49 @@ def test_textures_and_sounds():
     assert records(b"RIFF" + struct.pack("<I", 4 + len(wav)) + b"WAVE" + wav)[1][0][2]["frames"] == 2
     assert records(b"GST2" + struct.pack("<5I", 1, 4, 4, 0, 0) + bytes(12) + struct.pack("<IHHII", 0, 4, 4, 2, 5))[0] == "gst2"
     assert records(b"GDST" + struct.pack("<4HII", 4, 0, 4, 0, 0, 5))[0] == "gdst"
-    name = b"AudioStreamWAV\0"
-    assert records(b"RSRC" + struct.pack("<6I", 0, 0, 4, 3, 6, len(name)) + name)[1][0][1] == "AudioStreamWAV"
+    assert records(make_resource([]))[1][0][1] == "AudioStreamWAV"
+
+
+def godot_text(s):
+    return struct.pack("<I", len(s) + 1) + s.encode() + b"\0"
+
+
+def make_resource(properties, version=(4, 3, 6), kind="AudioStreamWAV", flags=0, external=(), tail=b"RSRC"):
+    """A Godot resource of (name, type, packed value); names are in its table."""
+    names = [n for n, _, _ in properties]
+    head = b"RSRC" + struct.pack("<5I", 0, 0, *version) + godot_text(kind) + struct.pack("<QIQ", 0, flags, 2**64 - 1) + bytes(44)
+    head += struct.pack("<I", len(names)) + b"".join(map(godot_text, names)) + struct.pack("<I", len(external)) + b"".join(godot_text(t) + godot_text(n) for t, n in external)
+    head += struct.pack("<I", 1) + godot_text("local://1")
+    body = godot_text(kind) + struct.pack("<I", len(names)) + b"".join(struct.pack("<2I", i, t) + v for i, (_, t, v) in enumerate(properties))
+    return head + struct.pack("<Q", len(head) + 8) + body + tail
+
+
+def test_godot_resources():
+    word = lambda n: struct.pack("<I", n)
+    pcm = lambda n: word(n) + bytes(n + -n % 4)
+    good = [("data", 31, pcm(10)), ("format", 3, word(1)), ("mix_rate", 40, struct.pack("<q", 22050)), ("loop_mode", 3, word(1)), ("loop_end", 3, word(5)), ("resource_name", 5, godot_text("hit")), ("script", 24, word(0))]
+    data = make_resource(good)
+    got = records(data)[1]
+    wav = next(r for r in got if r[0] == "GODOT_AUDIO_WAV")
+    assert wav[1:3] == ("PCM16", {"rate": 22050, "channels": 1, "loop_mode": 1, "loop_begin": 0, "loop_end": 5, "offset": data.index(pcm(10), 200) + 4, "size": 10, "frames": 5})
+    assert got[-1][1:3] == ("METADATA_ONLY", {"opaque": 0}) and got[0][3] == {"uid": str(2**64 - 1)}
+    assert [(n, t["type"]) for tag, n, _, t in got if tag == "GODOT_PROPERTY"][:3] == [("data", "DECLARED_BYTES"), ("format", "INTEGER"), ("loop_end", "INTEGER")]
+    assert next(r for r in records(make_resource([]))[1] if r[0] == "GODOT_AUDIO_WAV")[2]["rate"] == 44100
+    spoiled = [[("data", 31, pcm(5)), ("format", 3, word(1))], [("format", 3, word(4))], [("stereo", 3, word(1))], [("stereo", 2, word(2))], [("loop_mode", 3, word(1))], [("mix_rate", 3, word(0))], [("stereo", 2, word(1))] * 2]
+    assert all(rejected(make_resource(x)) for x in spoiled)
+    for cut in (4, 40, 60, len(data) - 8, len(data) - 1):
+        assert rejected(data[:cut])
+    assert rejected(make_resource(good, tail=b"\0RSRC")) and rejected(make_resource(good, tail=b"RSRX"))
+    status = lambda *a, **k: records(make_resource(*a, **k))[1][-1][1]
+    assert status([("other", 1, b"")]) == "UNKNOWN_AUDIO_PROPERTY_SCHEMA" and status([("data", 4, word(0))]) == "UNSUPPORTED_PROPERTY_VARIANT"
+    assert status([("script", 24, word(3))]) == "OBJECT_REFERENCE_PROPERTY_NOT_PARSED" and status([], kind="Theme") == "NON_WAV_RESOURCE_PAYLOAD_OPAQUE"
+    assert status([], version=(4, 4, 6)) == "UNSUPPORTED_ENGINE_OR_RESOURCE_VERSION" and status([], flags=16) == "UNKNOWN_HEADER_FLAGS" and status([], flags=8) == "SCRIPT_CLASS_RESOURCE_NOT_PARSED"
+    assert status([], external=[("Script", "res://a.gd")]) == "REFERENCED_OR_MULTI_RESOURCE_AUDIO_OPAQUE" and status([], flags=4) == "REAL64_RESOURCE_PAYLOAD_NOT_PARSED"
+    assert records(b"RSCC" + bytes(20))[1][-1][1] == "COMPRESSED_RESOURCE_NOT_DECODED"
+    old = [("data", 31, word(4) + b"abcd"), ("loop", 2, word(1)), ("loop_offset", 4, struct.pack("<f", 0.5)), ("n", 41, struct.pack("<d", 2.0))]
+    got = records(make_resource(old, version=(3, 5, 3), kind="AudioStreamMP3", tail=b""))[1]
+    assert [(n, r, t) for tag, n, r, t in got if tag == "GODOT_PROPERTY"] == [("data", {"size": 4}, {"type": "DECLARED_BYTES"}), ("loop", {"value": 1}, {"type": "BOOL"}), ("loop_offset", {}, {"type": "REAL", "value": "0.5"}), ("n", {}, {"type": "REAL", "value": "2.0"})]
+    assert rejected(make_resource([("x", 24, word(0))], version=(3, 5, 3)))
 
 
 def make_package(*chunks):

@@ -122,6 +122,12 @@ def package_rollup(records: DataFrame) -> DataFrame:
     return records.filter("record = 'PACKAGE_CHUNK'").groupBy("path").agg(F.count("*").alias("chunks"), F.count_if(packed).alias("packed"), F.sum(F.when(packed, n["size"]).otherwise(0)).alias("packed_bytes"))
 
 
+def samples(records: DataFrame) -> DataFrame:
+    """The sound samples of resources: codec, rate, channels, loop, bytes, and frames where the codec has frames of one size."""
+    n = F.col("numbers")
+    return records.filter("record = 'GODOT_AUDIO_WAV'").select("path", F.col("name").alias("codec"), *[n[c].alias(c) for c in ("rate", "channels", "loop_mode", "loop_begin", "loop_end", "size", "frames")])
+
+
 def coverage(records: DataFrame, record: str, start: str = "offset", length: str = "size") -> DataFrame:
     """Of each file's extents of one kind: union length, repeats and overlapping islands."""
     n = F.col("numbers")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -437,3 +438,34 @@ def pack_directory_rows(t):
     entry = F.concat(headers.le_bytes(F.octet_length(name), 4), name.cast("binary"), headers.le_bytes(F.octet_length(name) + 124, 8), headers.le_bytes(F.octet_length(body), 8), F.unhex(F.md5(body)))
     packs = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(head, entry, body).alias("content"))
     return scan.pack_entries(scan.decode_content(packs)).select(F.col("path").cast("long").alias("doc_id"), "name", "offset", "size", "md5")
+
+
+@query("SELECT doc_id, 1 AS chunks, 1 AS packed, CAST(octet_length(encode(text)) AS BIGINT) AS packed_bytes FROM documents WHERE octet_length(encode(text)) > 0")
+def package_chunks(t):
+    """Every document as a package of one compressed chunk, built here; a package with an empty chunk is rejected."""
+    from ..decode import scan
+
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size = F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0"))
+    packages = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit(b"\x20\0\0\x07\1"), size, body).alias("content"))
+    return scan.package_rollup(scan.decode_content(packages)).select(F.col("path").cast("long").alias("doc_id"), F.col("chunks").cast("int").alias("chunks"), F.col("packed").cast("int").alias("packed"), "packed_bytes")
+
+
+@query("""SELECT doc_id, 'PCM8' AS codec, CAST(8000 + doc_id AS BIGINT) AS rate, CAST(1 + doc_id % 2 AS BIGINT) AS channels, size, size // (1 + doc_id % 2) AS frames
+  FROM (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS size FROM documents) WHERE size % (1 + doc_id % 2) = 0""")
+def resource_samples(t):
+    """Every document's bytes as the samples of a sound resource, built here, of one channel or two; those that are not whole frames are rejected."""
+    from ..decode import scan
+
+    named = lambda v: struct.pack("<I", len(v) + 1) + v + b"\0"
+    word = lambda n: struct.pack("<I", n)
+    kind, names = named(b"AudioStreamWAV"), [b"data", b"mix_rate", b"stereo"]
+    head = b"RSRC" + struct.pack("<5I", 0, 0, 4, 3, 6) + kind + bytes(64) + word(len(names)) + b"".join(map(named, names)) + word(0) + word(1) + named(b"local://1")
+    head += struct.pack("<Q", len(head) + 8) + kind + word(len(names)) + struct.pack("<2I", 0, 31)
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    fill = F.substring(F.lit(bytes(3)), F.lit(1), F.pmod(-F.octet_length(body), F.lit(4)))
+    rate = F.concat(F.lit(struct.pack("<2I", 1, 3)), headers.le_bytes(F.col("doc_id") + 8000, 4))
+    stereo = F.concat(F.lit(struct.pack("<2I", 2, 2)), headers.le_bytes(F.col("doc_id") % 2, 4))
+    content = F.concat(F.lit(head), headers.le_bytes(F.octet_length(body), 4), body, fill, rate, stereo, F.lit(b"RSRC"))
+    found = scan.decode_content(t("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+    return scan.samples(found).select(F.col("path").cast("long").alias("doc_id"), "codec", "rate", "channels", "size", "frames")

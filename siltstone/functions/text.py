@@ -118,11 +118,11 @@ def mount_class(options: Column) -> Column:
     return F.when(compression_level(options).isNotNull(), "zstd").when(options.rlike(r"(^|,)compress(-force)?="), "compressed").otherwise("uncompressed")
 
 
-def bytes_human(n: Column) -> Column:
-    """Bytes as text: whole below 1024, else one decimal with K to E, halves to even; a sign in front."""
+def bytes_human(n: Column, units: str = "KMGTPE") -> Column:
+    """Bytes as text: whole below 1024, else one decimal with K to E (the last of ``units`` takes all beyond it), halves to even; a sign in front."""
     size = F.abs(n).cast("double")
     text = F.concat(F.abs(n).cast("string"), F.lit("B"))
-    for i, unit in enumerate("KMGTPE", 1):
+    for i, unit in enumerate(units, 1):
         text = F.when(size >= float(1024**i), F.concat(F.format_string("%.1f", F.bround(size / float(1024**i), 1)), F.lit(unit))).otherwise(text)
     return F.concat(F.when(n < 0, "-").otherwise(""), text)
 

@@ -39,6 +39,16 @@ def test_query_matches_oracle(spark, duck, name):
     assert mine == theirs
 
 
+def test_size_labels_beyond_a_terabyte(spark, tmp_path):
+    """Keys of a larger part table, on both sides of 2**40 bytes."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (k AS p_partkey) FROM (FROM '{DATA}/part.parquet' LIMIT 1), unnest([46114::BIGINT, 46115, 46116, 119999, 1199999]) u(k)) TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    mine = sorted(tuple(r) for r in catalogue.QUERIES["size_labels"](spark, str(tmp_path)).select("p_partkey", "human", "mib").collect())
+    assert mine == sorted(con.execute(catalogue.ORACLES["size_labels"]).fetchall())
+    assert mine[2][1] == "1024.0G"
+
+
 def test_no_nested_loop_where_an_equi_join_is_meant(spark):
     for name in ("substring_theta", "chunk_to_block", "asof_prefix", "legacy_unique_match"):
         plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()

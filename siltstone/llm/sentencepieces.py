@@ -24,8 +24,10 @@ from . import common, units
 
 #: Fixed values of the SentencePiece format: the sign for a space, and what an unknown character costs below the least score.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
-#: Characters encoded at once.
-BLOCK = 4 << 20
+#: Bytes encoded at once.
+BLOCK = 1 << 20
+#: Units and pairs of neighbours that a worker remembers; others are worked out again.
+UNITS, PAIRS = 250_000, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,7 @@ class Encoder:
         self.singles = {p for _, p, _ in model.pieces if len(p) == 1}
         self.least = min((s for _, _, s in model.pieces), default=0.0) - UNKNOWN_PENALTY
         self.joins = _joins(model)
-        self.pool = units.UnitPool(self._units, [])
+        self.pool = units.UnitPool(self._units, [], UNITS)
         self.said = np.frombuffer(b"".join(model.decoded), dtype=np.uint8)
         self.length = np.array([len(x) for x in model.decoded], dtype=np.int64)
         self.begin = np.cumsum(self.length) - self.length
@@ -218,6 +220,8 @@ class MergeEncoder(Encoder):
 
     def agree(self, left: str, right: str) -> bool:
         """Whether the merges of two pieces' joint text give these two."""
+        if len(self.agreed) >= PAIRS:
+            self.agreed.clear()
         found = self.agreed[left, right] = self.merged(left + right, len(left)) == [left, right]
         return found
 

@@ -186,6 +186,23 @@ def test_neighbouring_pieces_agree_as_the_merges_do():
         assert coder.encode(text).tolist() == sp.encode(text)
 
 
+def test_pieces_memory_is_bounded(monkeypatch):
+    """What a worker remembers stays within its bounds, and the ids don't depend on what it remembers."""
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepieces, "UNITS", 200, raising=False)
+    monkeypatch.setattr(sentencepieces, "PAIRS", 300, raising=False)
+    coder = sentencepieces.MergeEncoder(sentencepieces.load_model(PIECES))
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeilmnorstuéß日") for _ in range(rng.randrange(3, 12))) for _ in range(600)]
+    for at in range(0, len(words), 25):
+        text = " ".join(words[at : at + 25])
+        assert coder.encode(text).tolist() == library.encode(text)
+    assert 100 < len(coder.pool.number) <= 200
+    assert 0 < len(coder.agreed) <= 300
+
+
 def test_pieces_table(docs):
     got = {r.doc_id: r for r in sentencepieces.encode_documents(docs(list(enumerate(ODD_TEXTS))), PIECES).collect()}
     coder = sentencepieces.Encoder(sentencepieces.load_model(PIECES))
